@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import mixing
+from skyloom.llm import mixing, packing, topk
 from skyloom.llm.common import load
 
 
@@ -39,5 +39,35 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES = {"op9_mixing": op9_mixing}
-ORACLE_SQL = {"op9_mixing": OP9_SQL}
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_inner_products(vectors, F.pmod("vec_id", F.lit(100)) == 0)
+
+
+OP10_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_path())
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+ORACLE_SQL = {"op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
