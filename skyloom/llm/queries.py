@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import mixing, packing, topk
-from skyloom.llm.common import load
+from skyloom.llm import mixing, packing, secret_scan, simhash, topk, warc
+from skyloom.llm.common import load, new_path
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,37 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
-ORACLE_SQL = {"op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = load(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc")
+    warc.write_warc(pages, folder)
+    return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+n AS (
+  SELECT *, list_transform(range(40), lambda i: instr('0123456789abcdef', substr(hex, i + 1, 1)) - 1) AS x,
+         min(page_id) OVER (PARTITION BY hex) AS least
+  FROM h),
+b AS (
+  SELECT *, list_transform(range(8), lambda g: (((x[5*g+1] * 16 + x[5*g+2]) * 16 + x[5*g+3]) * 16 + x[5*g+4]) * 16 + x[5*g+5]) AS v FROM n)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::BIGINT + 1, 1)), lambda l, r: l || r) AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM b
+"""
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op5_secrets": op5_secrets, "op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
