@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import mixing, packing, secret_scan, simhash, topk, warc
-from skyloom.llm.common import load, new_path
+from skyloom.llm import ann, langid, lines, mixing, packing, quality, secret_scan, simhash, topk, warc
+from skyloom.llm.common import id_crc, load, new_path
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +101,28 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM b
 """
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op5_secrets": op5_secrets, "op7_packing": op7_packing, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
+    return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
+    model = quality.learn(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"), ~held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest_neighbours(vectors, F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.line_report(docs)
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
