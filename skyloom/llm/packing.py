@@ -13,6 +13,7 @@ empty table gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,6 @@ from skyloom.llm.common import materialize
 BUCKETS = 256
 #: A worker forgets the words it knows beyond so many.
 KNOWN_WORDS = 800_000
-#: Marks of which one after letters is a token by itself.
-MARKS = frozenset(".,;:!?")
 PLACES = "length int, first long, last long, copies int, base long, at int"
 
 
@@ -47,25 +46,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, parts = self.known, [x.replace("\n", " ").split(" ") for x in texts]
-        new = {p for own in parts for p in own if p not in known}
+        new = set().union(*parts).difference(known)
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
-            new = {p for own in parts for p in own}
-        ends = {p for p in new if p[-1:] in MARKS and p[:-1].isalpha()}  # letters and a mark are split anyway
-        self.learn(list((new - ends) | {q for p in ends for q in (p[:-1], p[-1]) if q not in known}))
-        known.update({p: known[p[:-1]] + known[p[-1]] for p in ends})
-        return [b"".join([known[p] for p in own]) for own in parts]
+            new = set().union(*parts)
+        cores = {p: q for p in new if (q := p.rstrip(string.punctuation)) != p and q.isalpha()}  # letters and the marks after them are split anyway
+        self.learn(list(new.difference(cores).union({q for p, core in cores.items() for q in (core, p[len(core) :])}.difference(known))))
+        known.update({p: known[core] + known[p[len(core) :]] for p, core in cores.items()})
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
-            for p, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+        """Words of letters alone go together, as one text whose ids tell where each word ends; others one by one."""
+        plain = [p for p in words if p.isalpha()]
+        alone = [p for p in words if not p.isalpha()]
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):  # a letter that the tokenizer takes for something else
+                alone += some
+                continue
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        for at in range(0, len(alone), 2048):
+            some = alone[at : at + 2048]
+            for p, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[p] = np.array(got.ids, "<u4").tobytes()
 
 
+#: A Python worker's encoders by path; they outlive its tasks, as most words recur.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, start, length, ids_crc32, doc_tokens and ids (bytes) if wanted."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())])
@@ -74,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = word_encoder(tokenizer)
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
