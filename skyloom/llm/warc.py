@@ -46,15 +46,19 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str, nth: int) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}:{nth}>"
+
+
 def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """A response or revisit record, uncompressed."""
+    """A response or revisit record, uncompressed; nth tells rows of one identifier and payload apart."""
     own = f"urn:page:{'null' if page_id is None else page_id}"
     uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else own
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     digest = base32_sha1(payload)
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{own}:{nth}>"), ("WARC-Date", date), ("WARC-Target-URI", uri)]
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest, nth)), ("WARC-Date", date), ("WARC-Target-URI", uri)]
     if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{'null' if refers_to is None else refers_to}:0>")]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest, 0))]
     else:
         block += payload
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
@@ -104,13 +108,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
     slim = materialize(rows.select("id", "digest", "bytes", (F.col("bytes") + RECORD_OVERHEAD).cast("long").alias("weight")), "warc-digests")
     groups = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    again = groups.where("n > 1").select("digest", "least", F.lit(True).alias("again"))
+    again = groups.where("n > 1").select("digest", "least")
+    marks = slim.select("id", "digest").distinct().join(again, "digest")  # who has equal payloads, and which comes first
     starts = _ranges(slim, shard_bytes)
     bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip([None, *starts], [*starts, None], strict=True))], "shard int, a long, z long")
     within = (F.coalesce("id", F.lit(-(1 << 63))) >= F.coalesce("a", F.lit(-(1 << 63)))) & (F.col("z").isNull() | F.col("id").isNull() | (F.col("id") < F.col("z"))) & (F.col("id").isNotNull() | F.col("a").isNull())
-    dealt = rows.join(again, "digest", "left").join(F.broadcast(bounds), within)
-    dealt = dealt.select("shard", "id", "url", "payload", F.coalesce("again", F.lit(False)).alias("again"), "least", "digest")
-    dealt = dealt.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "digest", "url").drop("digest")
+    page = rows.select("id", "digest", F.lit(1).alias("mark"), "url", "payload", F.lit(None).cast("long").alias("least"))
+    mark = marks.select("id", "digest", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "least")
+    dealt = page.union(mark).join(F.broadcast(bounds), within).select("shard", *page.columns)
+    dealt = dealt.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "digest", "mark", "url")
     folder = folder.rstrip("/")
     temporary = f"{folder}/_temporary"
     fs, at = hadoop_path(spark, temporary)
@@ -122,7 +128,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         from pyarrow import fs as pafs
 
         store, root = pafs.FileSystem.from_uri(temporary)
-        out, shard, seq, done, last, nth = None, None, 0, [], None, 0
+        out, shard, seq, done, again, last, nth = None, None, 0, [], None, None, 0
 
         def close():
             nonlocal out
@@ -133,6 +139,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
         for batch in batches:
             for row in batch.to_pylist():
+                own = (row["id"], row["digest"])
+                if not row["mark"]:
+                    again = (own, row["least"])
+                    continue
                 if row["shard"] != shard:
                     close()
                     shard, seq, last = row["shard"], 0, None
@@ -147,11 +157,12 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     out["stream"].write(first)
                     out["sha1"].update(first)
                     out["bytes"] += len(first)
-                payload, page = row["payload"], row["id"]
-                nth = nth + 1 if last and last[0] == page else 0
-                revisit = row["again"] and (page != row["least"] or bool(last) and last[0] == page and payload in last[1])
-                last = (page, (last[1] if last and last[0] == page else set()) | ({payload} if row["again"] else set()))
-                data = member(record(page, nth, row["url"], payload, row["least"], revisit, date))
+                nth = nth + 1 if own == last else 0
+                last = own
+                repeats = bool(again) and again[0] == own
+                least = again[1] if repeats else None
+                revisit = repeats and (row["id"] != least or nth > 0)
+                data = member(record(row["id"], nth, row["url"], row["payload"], least, revisit, date))
                 out["stream"].write(data)
                 out["sha1"].update(data)
                 out["bytes"] += len(data)
