@@ -132,7 +132,7 @@ def content_cache_keys(spark, sf_dir):
 
 
 HEX_SQL = f"""{duck("companions")}, f AS (SELECT source_id AS field_id, ra, dec, 2 * 30 * 0.8e0 / 60 AS step FROM companions WHERE source_id % 9 = 0),
-g AS (SELECT field_id, j, i, dec + j * step AS td, ra, dec, step FROM f, range(-4, 5) a(j), range(-4, 5) b(i)),
+g AS (SELECT field_id, j, i, dec + j * step AS td, ra, dec, step FROM f, range(-3, 4) a(j), range(-3, 4) b(i)),
 t AS (SELECT *, ra + (i + CASE WHEN j % 2 = 0 THEN 0 ELSE 0.5e0 END) * step / greatest(cos(radians(td)), 0.1e0) AS tr FROM g WHERE td BETWEEN -90 AND 90),
 w AS (SELECT *, tr - 360 * floor(tr / 360) AS tra FROM t), k AS (SELECT *, {sep_sql("ra", "dec", "tra", "td")} AS s FROM w)
 SELECT field_id, row_number() OVER (PARTITION BY field_id ORDER BY j, i) AS tile, round(tra, 6) AS tile_ra, round(td, 6) AS tile_dec FROM k WHERE s * 60 <= 120"""

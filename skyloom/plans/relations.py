@@ -18,7 +18,7 @@ RELATIONS: dict[str, tuple[str, dict[str, str]]] = {
             "region_id": "CAST(c_nationkey AS BIGINT)",
             "source_id": "c_custkey",
             "ra": f"{_KEY} * 137.508e0 % 360",
-            "dec": f"degrees(asin(2 * ({_KEY} * 0.618034e0 % 1) - 1))",
+            "dec": f"degrees(asin(2 * ({_KEY} * 0.754877666e0 % 1) - 1))",
             "mag": _MAG,
             "bp_rp": f"0.5 + 0.05e0 * {_MAG} + (c_custkey * 7919 % 997) / 2000e0 + CASE WHEN c_custkey % 41 = 7 THEN 3 ELSE 0 END",
             "pmra": "(c_custkey * 31 % 97 - 48) / 6e0 * CASE WHEN c_custkey % 53 = 9 THEN 6 ELSE 1 END",
@@ -35,7 +35,7 @@ RELATIONS: dict[str, tuple[str, dict[str, str]]] = {
             "region_id": "CAST(s_nationkey AS BIGINT)",
             "source_id": "s_suppkey * 3",
             "ra": "CAST(s_suppkey AS DOUBLE) * 137.508e0 % 360",
-            "dec": "degrees(asin(2 * (CAST(s_suppkey AS DOUBLE) * 0.618034e0 % 1) - 1))",
+            "dec": "degrees(asin(2 * (CAST(s_suppkey AS DOUBLE) * 0.754877666e0 % 1) - 1))",
             "mag": "14 + (s_acctbal + 1000) / 1100",
             "x": "CAST(s_suppkey * 37 % 101 AS DOUBLE)",
             "y": "CAST(s_suppkey * 53 % 103 AS DOUBLE)",
