@@ -32,6 +32,8 @@ from skyloom.llm.common import fresh, materialize
 from skyloom.llm.graph import components
 
 BREAK = "\n"
+#: Slots of the broadcast sieve that keeps most texts without candidates from moving.
+SIEVE = 1 << 18
 
 
 def let(value: Column, body) -> Column:
@@ -133,7 +135,9 @@ def line_links(lines: DataFrame, texts: DataFrame, edits: int, hot_key: int) ->
     keyed = lines.select("h", "n", F.explode(each).alias("k")).select("h", "n", "k.*")
     counts = keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("own").alias("owned")).where("owned >= 1 and all >= 2")
     members = materialize(keyed.join(counts.select("key", "all"), "key"), "line-members")
-    known = materialize(texts.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "line-texts")
+    sieve = members.select(F.pmod("h", F.lit(SIEVE)).alias("slot")).distinct()  # SIEVE rows at most, whatever the data are
+    likely = texts.join(F.broadcast(sieve), F.pmod("h", F.lit(SIEVE)) == F.col("slot"), "left_semi")
+    known = materialize(likely.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "line-texts")
     few = members.where(F.col("all") <= hot_key) if edits == 1 else members
     left = few.where("own").select("key", F.col("h").alias("a"))
     right = few.select("key", F.col("h").alias("b"), "own")
