@@ -203,9 +203,9 @@ def lens_arcs(pixels: DataFrame, centres: DataFrame, rms: DataFrame, inner: int
     near = pixels.join(centres, KEY).withColumn("r", r).withColumn("theta", F.atan2(dy, dx)).withColumn("residual", F.col("v") - F.col("peak") * F.exp(-0.5 * F.pow(F.col("r") / F.greatest(F.col("radius"), F.lit(1.0)), 2)))
     rings = F.array(*[F.lit(k) for k in range(inner, outer, step)])
     near = near.withColumn("ring", F.explode(F.filter(rings, lambda k: (F.col("r") >= k) & (F.col("r") < k + width))))
-    start = lambda k: -math.pi + k * math.pi / 6
-    sectors = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(start(k)).alias("a")) for k in range(12)])
-    near = near.withColumn("sector", F.explode(F.filter(sectors, lambda s: (F.col("theta") >= s["a"]) & (F.col("theta") < s["a"] + math.pi / 3)))["k"])
+    start = lambda k: k * (math.pi / 6) - math.pi
+    sectors = F.array(*[F.lit(k) for k in range(12)])
+    near = near.withColumn("sector", F.explode(F.filter(sectors, lambda k: (F.col("theta") >= start(k)) & (F.col("theta") < start(k) + math.pi / 3))))
     sums = near.groupBy(*KEY, "ring", "sector").agg(F.avg("residual").alias("mean_flux"), F.count("*").alias("n_pixels")).where(F.col("n_pixels") >= least)
     found = sums.join(rms, KEY).withColumn("snr", F.col("mean_flux") / F.greatest("rms", F.lit(1e-10))).where(F.col("snr") > snr).drop("rms")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("snr").desc(), "ring", "sector"))).where(F.col("rank") <= most)

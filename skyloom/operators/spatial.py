@@ -58,23 +58,27 @@ def cross_reference(positions: DataFrame, known: DataFrame, radius_arcmin: float
     return out.withColumn("is_known", F.col("n_matches") > 0).withColumn("is_known_lens", F.coalesce(F.arrays_overlap("types", F.array(*map(F.lit, lens_types))), F.lit(False)))
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder, so that loops neither recompute nor outgrow their plans."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/skyloom-checkpoints"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b): (node, root) with the least node of each component, by hooking to minima and jumping pointers.
 
     Every round is checkpointed in the shared folder, which cuts its lineage; rounds are logarithmic in the
     length of chains, as labels jump along labels.
     """
-    spark = edges.sparkSession
-    if checkpoint and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/skyloom-checkpoints"))
-    keep = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        moved = keep(hooked.join(up, "root").select("node", F.col("upper").alias("root"), "old"))
+        moved = kept(hooked.join(up, "root").select("node", F.col("upper").alias("root"), "old"))
         if not moved.where("root <> old").limit(1).count():
             return moved.select("node", "root")
         labels = moved.select("node", "root")
@@ -115,17 +119,13 @@ def nearest(points: DataFrame, by: list[str], cell: float, id_col: str = "source
     Cells double until a neighbour is found within the cell's width, which makes it the nearest; only the
     points still without one go to the next round.
     """
-    own = points.select(*by, id_col, "x", "y")
-    found, rest = None, own
+    own = kept(points.select(*by, id_col, "x", "y"))
+    rest, found = own.join(own.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), by), None
     for k in range(rounds):
-        width = cell * 2**k
-        last = k == rounds - 1
-        pairs = distance_join(rest, own, width, by).where(F.col(id_col) != F.col(f"{id_col}_r"))
-        best = pairs.groupBy(*by, id_col).agg(F.min(F.struct(F.col("distance"), F.col(f"{id_col}_r").alias("nearest_id"))).alias("m")).select(*by, id_col, "m.nearest_id", "m.distance")
+        pairs = distance_join(rest, own, cell * 2**k, by).where(F.col(id_col) != F.col(f"{id_col}_r"))
+        best = kept(pairs.groupBy(*by, id_col).agg(F.min(F.struct(F.col("distance"), F.col(f"{id_col}_r").alias("nearest_id"))).alias("m")).select(*by, id_col, "m.nearest_id", "m.distance"))
         found = best if found is None else found.unionByName(best)
-        if last:
-            break
-        rest = rest.join(best.select(id_col), id_col, "left_anti")
+        rest = kept(rest.join(best.select(id_col), id_col, "left_anti").select(*by, id_col, "x", "y"))
         if not rest.limit(1).count():
             break
     return found
@@ -158,7 +158,7 @@ def landy_szalay(points: DataFrame, edges: list[float], by: list[str], seed: int
     parts = [pair_counts(points, edges, by).withColumnRenamed("n_pairs", "dd"), pair_counts(random, edges, by).withColumnRenamed("n_pairs", "rr"), pair_counts(points, edges, by, other=random).withColumnRenamed("n_pairs", "dr")]
     out = parts[1].join(parts[0], [*by, "bin"], "left").join(parts[2], [*by, "bin"], "left").na.fill(0, ["dd", "dr"]).join(box.select(*by, "n"), by)
     n, m = F.col("n"), 2 * F.col("n")
-    dd, rr, dr = F.col("dd") / (n * (n - 1) / 2), F.col("rr") / (m * (m - 1) / 2), F.col("dr") / (n * m)
+    dd, rr, dr = F.col("dd") / F.nullif(n * (n - 1) / 2, F.lit(0.0)), F.col("rr") / (m * (m - 1) / 2), F.col("dr") / (n * m)
     return out.withColumn("xi", (dd - 2 * dr + rr) / rr).select(*by, "bin", "dd", "rr", "dr", "xi")
 
 
