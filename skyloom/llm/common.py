@@ -60,6 +60,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has at least 1 / HOT of all rows; so there are at most HOT hot keys.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left joined with right, whose keys are unique and which tells in n how many of left's rows (rows in all) have each.
+
+    The hot keys' rows of right, HOT at most whatever the data are, are broadcast, so that the rows of a hot
+    key on the left stay spread; all others meet by an ordinary join. n is dropped.
+    """
+    hot = F.col("n") * HOT >= rows
+    few = right.where(hot).drop("n")
+    spread = left.join(F.broadcast(few), key)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).drop("n"), key)
+    return spread.unionByName(rest)
+
+
 def fresh(taken, *names: str) -> list[str]:
     """The names, with underscores before those that are taken (in any case)."""
     used = {x.lower() for x in taken}

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import fresh, materialize
+from skyloom.llm.common import fresh, join_unique, materialize
 from skyloom.llm.graph import components
 
 BREAK = "\n"
@@ -159,17 +159,18 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"k{j}" for j in range(len(keys))]
     distinct = materialize(all_.groupBy("h", "n", *names).agg(F.count("*").alias("times"), F.min("id").alias("least")), "distinct-lines")
     roots = components(line_links(distinct, lines.select("h", "line"), edits, hot_key))
-    linked = materialize(roots.withColumnRenamed("node", "h").join(distinct.select("h", "least"), "h"), "line-classes")
+    linked = materialize(roots.withColumnRenamed("node", "h").join(distinct.select("h", "least", F.col("times").alias("n")), "h"), "line-classes")
     owners = linked.groupBy("root").agg(F.min("least").alias("owner"))
-    again = linked.join(owners, "root").select("h", F.col("root").alias("class"), "owner")
-    more = distinct.where("times > 1").join(again, "h", "left_anti").select("h", F.col("h").alias("class"), F.col("least").alias("owner"))
-    seen = all_.select("id", "ih", "th", "at", "n", "h").join(again.union(more), "h")
+    again = linked.join(owners, "root").select("h", F.col("root").alias("class"), "owner", "n")
+    more = distinct.where("times > 1").join(again, "h", "left_anti").select("h", F.col("h").alias("class"), F.col("least").alias("owner"), F.col("times").alias("n"))
+    classes = materialize(again.union(more), "line-names")
+    seen = join_unique(all_.select("id", "ih", "th", "at", F.col("n").alias("chars"), "h"), classes, "h", all_.count())
     firsts = seen.groupBy("ih", "th", "class").agg(F.min("at").alias("first"))
     seen = seen.join(firsts, ["ih", "th", "class"])
     foreign = ~F.col("id").eqNullSafe(F.col("owner"))
     repeat = F.col("at") > F.col("first")
     per_doc = seen.groupBy("ih", "th").agg(
-        F.sum(F.when(foreign, F.col("n")).otherwise(0)).alias("foreign_chars"), F.collect_set(F.when(repeat, F.col("at"))).alias("repeats"), F.collect_set(F.when(foreign, F.col("at"))).alias("foreigns")
+        F.sum(F.when(foreign, F.col("chars")).otherwise(0)).alias("foreign_chars"), F.collect_set(F.when(repeat, F.col("at"))).alias("repeats"), F.collect_set(F.when(foreign, F.col("at"))).alias("foreigns")
     )
     sizes = all_.groupBy("ih", "th").agg(F.sum("n").alias("chars"))
     drop = F.when(F.col("foreign_chars") <= F.col("chars") * max_share, F.array_union("repeats", "foreigns")).otherwise(F.col("repeats"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.llm.common import fresh, materialize
+from skyloom.llm.common import fresh, join_unique, materialize
 from skyloom.llm.graph import components
 
 SEED = 42
@@ -141,13 +141,13 @@ def links(fps: DataFrame, key_members: int = KEY_MEMBERS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, key_members: int = KEY_MEMBERS) -> DataFrame:
     """doc_id, text_hash, fingerprint (hexadecimal), root (a fingerprint that names the component) and component_id."""
     own = materialize(fingerprints(docs, id_col, text_col, words), "simhash-fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(fps.select("fp"), key_members)).withColumnRenamed("node", "fp")
-    named = materialize(roots.join(fps, "fp"), "simhash-components")
+    named = materialize(roots.join(fps.drop("n"), "fp"), "simhash-components")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "root").select("fp", "root", "component_id")
-    all_ = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    out = own.join(all_, "fp")
+    all_ = fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = join_unique(own, materialize(all_, "simhash-names"), "fp", own.count())
     return out.select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
 
 

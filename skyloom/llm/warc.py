@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import hadoop_path, materialize
+from skyloom.llm.common import hadoop_path, join_unique, materialize
 
 MANIFEST = "manifest.jsonl"
 FILES = "shard int, seq int, temporary string, name string, records long, bytes long, sha1 string"
@@ -108,8 +108,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
     slim = materialize(rows.select("id", "digest", "bytes", (F.col("bytes") + RECORD_OVERHEAD).cast("long").alias("weight")), "warc-digests")
     groups = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    again = groups.where("n > 1").select("digest", "least")
-    marks = slim.select("id", "digest").distinct().join(again, "digest")  # who has equal payloads, and which comes first
+    again = groups.where("n > 1").select("digest", "least", "n")
+    marks = join_unique(slim.select("id", "digest"), again, "digest", slim.count()).distinct()  # who has equal payloads, and which comes first
     starts = _ranges(slim, shard_bytes)
     bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip([None, *starts], [*starts, None], strict=True))], "shard int, a long, z long")
     within = (F.coalesce("id", F.lit(-(1 << 63))) >= F.coalesce("a", F.lit(-(1 << 63)))) & (F.col("z").isNull() | F.col("id").isNull() | (F.col("id") < F.col("z"))) & (F.col("id").isNotNull() | F.col("a").isNull())
