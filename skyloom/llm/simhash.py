@@ -32,6 +32,8 @@ SEED = 42
 DISTANCE = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
 KEY_MEMBERS = 4096
+#: Digests whose bits are counted at a time.
+SLICE = 8192
 
 
 def shingle_digests(text: bytes, words: int) -> list[bytes]:
@@ -46,16 +48,13 @@ def shingle_digests(text: bytes, words: int) -> list[bytes]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
-def majority(digests: list[list[bytes]]) -> np.ndarray:
-    """A fingerprint for each list: the bits set in over half of its digests."""
-    sizes = np.array([len(x) for x in digests])
-    out = np.zeros(len(digests), ">u8")
-    some = np.flatnonzero(sizes)
-    if len(some):
-        bits = np.unpackbits(np.frombuffer(b"".join([b"".join(digests[i]) for i in some]), np.uint8).reshape(-1, 8), axis=1)
-        counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * counts > sizes[some, None], axis=1).reshape(-1).view(">u8")
-    return out.astype("<u8").view("<i8")
+def majority(digests: list[bytes]) -> int:
+    """The bits set in over half of the digests, as a signed long; a slice of them at a time, however many there are."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(digests), SLICE):
+        some = np.frombuffer(b"".join(digests[low : low + SLICE]), np.uint8)
+        counts += np.unpackbits(some.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(digests)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -63,11 +62,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 128):
-                batch = whole.slice(low, 128)
-                fps = majority([shingle_digests(x or b"", words) for x in batch.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=schema.names)
+        for batch in batches:
+            fps = [majority(shingle_digests(x.as_py() or b"", words)) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=schema.names)
 
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(F.col(f"`{id_col}`"), F.xxhash64(text), text.cast("binary")).mapInArrow(run, schema)
