@@ -154,3 +154,40 @@ def permutation_p(values: DataFrame, by: list[str], value: str, label: str, roun
     turn = F.row_number().over(Window.partitionBy(*by, "round").orderBy(F.xxhash64("seq", "round", F.lit(seed))))
     drawn = each.withColumn("one", turn <= F.col("n1")).groupBy(*by, "round").agg(F.abs(F.avg(F.when(F.col("one"), F.col(value))) - F.avg(F.when(~F.col("one"), F.col(value)))).alias("d"))
     return drawn.join(seen, by).groupBy(*by).agg(((F.count_if(F.col("d") >= F.col("seen")) + 1) / F.lit(rounds + 1)).alias("p_value"))
+
+
+def replay(runs: list[DataFrame], most: int = 50) -> DataFrame:
+    """The fittest genomes of several runs: a union and top-k."""
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out.orderBy(F.col("fitness").desc(), "genome_id").limit(most)
+
+
+def gated_weights(genomes: DataFrame, detectors: list[str]) -> DataFrame:
+    """Columns weight_<d> and enable_<d> to shares of one among the enabled; 0 for the others, and for all where none has weight."""
+    raw = {d: F.when(F.col(f"enable_{d}") >= 0.5, F.greatest(F.col(f"weight_{d}"), F.lit(0.0))).otherwise(0.0) for d in detectors}
+    total = sum(raw.values(), F.lit(0.0))
+    return genomes.withColumns({f"share_{d}": F.coalesce(raw[d] / F.nullif(total, F.lit(0.0)), F.lit(0.0)) for d in detectors})
+
+
+def mahalanobis_novelty(items: DataFrame, references: DataFrame, id_col: str = "vec_id", vec: str = "vec") -> DataFrame:
+    """Sigmoid of the Mahalanobis distance from the references' mean, less three; 0.5 with fewer than two references.
+
+    The references are a bounded history: they are collected, and their inverse covariance goes to the executors.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = np.array([r[0] for r in references.select(vec).collect()], float)
+    if len(rows) < 2:
+        return items.select(id_col, F.lit(None).cast("double").alias("distance"), F.lit(0.5).alias("novelty"))
+    mean, inverse = rows.mean(axis=0), np.linalg.inv(np.cov(rows, rowvar=False) + 1e-6 * np.eye(rows.shape[1]))
+
+    def run(batches):
+        for batch in batches:
+            off = np.array(batch[vec].tolist(), float).reshape(len(batch), -1) - mean
+            d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", off, inverse, off), 0))
+            yield pd.DataFrame({id_col: batch[id_col], "distance": d, "novelty": 1 / (1 + np.exp(-(d - 3)))})
+
+    return items.select(id_col, vec).mapInPandas(run, f"{id_col} {dict(items.dtypes)[id_col]}, distance double, novelty double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import images, kernels, models, spatial
+from skyloom.operators import evaluation, images, kernels, models, spatial
 from skyloom.plans.catalog_queries import sep_sql
 from skyloom.plans.registry import query, shown
 from skyloom.plans.relations import duck, relation
@@ -285,3 +285,8 @@ def feature_vectors(spark, sf_dir):
 @query("genome_search")
 def genome_search(spark, sf_dir):
     return shown(models.evolve(arrays(spark, sf_dir), population=8, generations=2))
+
+
+@query("region_snr", f"""{PIX} SELECT image_id, round((max(v) - median(v)) / (1.4826e0 * mad(v)), 6) AS snr FROM im GROUP BY 1""")
+def region_snr(spark, sf_dir):
+    return shown(evaluation.region_snr(image(spark, sf_dir)))

@@ -348,3 +348,56 @@ def genome_distance(spark, sf_dir):
     genes = relation(spark, sf_dir, "vectors").select("vec_id", F.slice("vec", 1, 8).cast("array<double>").alias("g"))
     one = genes.where("vec_id = 0").select(F.col("g").alias("o"))
     return shown(genes.crossJoin(F.broadcast(one.limit(1))).select("vec_id", learning.genome_distance(F.col("g"), F.col("o"), [2.0] * 8).alias("d")))
+
+
+@query("follow_ups", f"""{SCORES} SELECT region_id, CASE WHEN lens >= greatest(kinematic, transient) THEN 'lens' WHEN kinematic >= transient THEN 'kinematic' ELSE 'transient' END AS dominant, CASE WHEN transient > greatest(lens, kinematic) OR lens >= greatest(kinematic, transient) OR kinematic >= transient THEN 2 END::BIGINT AS n_steps FROM w""")
+def follow_ups(spark, sf_dir):
+    own = matrix(spark, sf_dir)
+    top = evaluation.dominant({d: F.col(d) for d in ("lens", "kinematic", "transient")})
+    classes = F.create_map(*[F.lit(x) for kv in evaluation.CLASSES.items() for x in kv])
+    return shown(own.withColumn("dominant", top).withColumn("n_steps", F.size(evaluation.follow_ups(classes[F.col("dominant")]))), "region_id", "dominant", "n_steps")
+
+
+@query("sub_detection_counts", f"""{ANOM}, g AS (SELECT region_id, count_if(detector = 'lens') AS l, count_if(detector = 'wavelet' AND score > 0.8) AS w FROM anomalies WHERE seq % 30 = 0 GROUP BY 1)
+SELECT region_id, (l + w)::BIGINT AS total, ((l > 0)::INT + (w > 0)::INT)::BIGINT AS n_kinds FROM g""")
+def sub_detection_counts(spark, sf_dir):
+    c = F.col
+    nested = relation(spark, sf_dir, "anomalies").where("seq % 30 = 0").groupBy("region_id").agg(F.collect_list(F.when(c("detector") == "lens", c("seq"))).alias("arcs"), F.collect_list(F.when((c("detector") == "wavelet") & (c("score") > 0.8), c("seq"))).alias("objects"))
+    return shown(evaluation.sub_detections(nested, ["arcs", "objects"]).withColumn("n_kinds", F.size("counts")), "region_id", "total", "n_kinds")
+
+
+@query("finding_anomalies_unnested", f"""{ANOM} SELECT region_id, seq, detector FROM anomalies WHERE seq % 10 = 0""")
+def finding_anomalies_unnested(spark, sf_dir):
+    nested = relation(spark, sf_dir, "anomalies").where("seq % 10 = 0").groupBy("region_id").agg(F.collect_list(F.struct("seq", "detector")).alias("anomalies"))
+    kept = nested.select("region_id", F.to_json("anomalies").alias("body")).select("region_id", F.from_json("body", "array<struct<seq: bigint, detector: string>>").alias("anomalies"))
+    return kept.select("region_id", F.explode("anomalies").alias("a")).select("region_id", "a.seq", "a.detector")
+
+
+@query("bounded_history", f"""{ANOM} SELECT detector, seq FROM anomalies QUALIFY row_number() OVER (PARTITION BY detector ORDER BY seq DESC) <= 50""")
+def bounded_history(spark, sf_dir):
+    return evaluation.last_rows(relation(spark, sf_dir, "anomalies"), ["detector"], 50).select("detector", "seq")
+
+
+@query("genome_replay", f"""{VEC} SELECT vec_id AS genome_id, round(vec[1]::DOUBLE, 6) AS fitness FROM vectors ORDER BY vec[1] DESC, vec_id LIMIT 50""")
+def genome_replay(spark, sf_dir):
+    genomes = relation(spark, sf_dir, "vectors").select(F.col("vec_id").alias("genome_id"), F.col("vec")[0].cast("double").alias("fitness"))
+    return shown(learning.replay([genomes.where("genome_id % 2 = 0"), genomes.where("genome_id % 2 = 1")]))
+
+
+@query("gated_weights", f"""{VEC}, r AS (SELECT vec_id, CASE WHEN vec[3] >= 0 THEN greatest(vec[1]::DOUBLE, 0) ELSE 0 END AS a, CASE WHEN vec[4] >= 0 THEN greatest(vec[2]::DOUBLE, 0) ELSE 0 END AS b FROM vectors)
+SELECT vec_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 6) AS share_lens, round(CASE WHEN a + b > 0 THEN b / (a + b) ELSE 0 END, 6) AS share_wavelet FROM r""")
+def gated_weights(spark, sf_dir):
+    v = lambda i: F.col("vec")[i].cast("double")
+    genomes = relation(spark, sf_dir, "vectors").select("vec_id", v(0).alias("weight_lens"), v(1).alias("weight_wavelet"), (v(2) + 0.5).alias("enable_lens"), (v(3) + 0.5).alias("enable_wavelet"))
+    return shown(learning.gated_weights(genomes, ["lens", "wavelet"]), "vec_id", "share_lens", "share_wavelet")
+
+
+@query("novelty_mahalanobis")
+def novelty_mahalanobis(spark, sf_dir):
+    items = relation(spark, sf_dir, "vectors")
+    return shown(learning.mahalanobis_novelty(items, items.where("vec_id % 5 = 0").limit(500)))
+
+
+@query("normality_tests")
+def normality_tests(spark, sf_dir):
+    return shown(evaluation.anderson_darling(relation(spark, sf_dir, "anomalies"), ["region_id"], "score"))
