@@ -28,7 +28,7 @@ from skyloom.llm.common import materialize
 #: Hash buckets of a length.
 BUCKETS = 256
 #: A worker forgets the words it knows beyond so many.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 600_000
 PLACES = "length int, first long, last long, copies int, base long, at int"
 
 
