@@ -152,9 +152,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without all but one document of each component: that with the smallest identifier."""
     found = near_duplicates(docs, id_col, text_col, **options)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("x"))
-    known, hash_, rank = fresh(docs.columns, "known", "hash", "rank")
-    kept = kept.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias(f"{known}_k"), F.col("x.text_hash").alias(f"{hash_}_k"))
+    known, hash_, rank, known_k, hash_k = fresh(docs.columns, "known", "hash", "rank", "known_kept", "hash_kept")
+    kept = kept.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias(known_k), F.col("x.text_hash").alias(hash_k))
     keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias(known), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(hash_))
-    joined = keyed.join(kept, (F.col(known) == F.col(f"{known}_k")) & (F.col(hash_) == F.col(f"{hash_}_k")), "left_semi")
+    joined = keyed.join(kept, (F.col(known) == F.col(known_k)) & (F.col(hash_) == F.col(hash_k)), "left_semi")
     first = joined.withColumn(rank, F.row_number().over(Window.partitionBy(known, hash_).orderBy(F.lit(0))))
     return first.where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import simhash
 from skyloom.llm.common import load
 
-DOCS = "doc_id long, text string, root string, hash string"
+DOCS = "doc_id long, text string, root string, known_kept string"
 
 
 def fingerprint(text):
