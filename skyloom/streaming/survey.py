@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,9 +54,9 @@ def running_outbursts(points: DataFrame, threshold: float = 3.0, memory: int = 3
         rows = []
         for ts, mag in pd.concat(list(batches)).sort_values("ts")[["ts", "mag"]].itertuples(index=False):
             if len(last) >= 5:
-                s = pd.Series(last)
-                sigma = 1.4826 * (s - s.median()).abs().median()
-                if sigma > 1e-6 and abs(dev := (s.median() - mag) / sigma) > threshold:
+                middle = statistics.median(last)
+                sigma = 1.4826 * statistics.median([abs(x - middle) for x in last])
+                if sigma > 1e-6 and abs(dev := (middle - mag) / sigma) > threshold:
                     rows.append((*key, ts, mag, dev, "brightening" if dev > 0 else "fading"))
             last = [*last, mag][-memory:]
         state.update((last,))
