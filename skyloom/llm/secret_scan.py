@@ -81,6 +81,8 @@ def assigned_literals(text: str) -> Iterator[tuple[str, int, int]]:
             kind = value.lastindex
             if kind == 3 and value[3] in constants:
                 spans += constants[value[3]]
+            elif kind == 3 and text[value.end() : value.end() + 1] in ("(", "["):
+                break  # a call or a lookup, not a literal
             else:
                 spans.append(value.span(kind))
             at = value.end()
