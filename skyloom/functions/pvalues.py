@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _log(x: Column) -> Column:
+    return F.coalesce(F.log(x), F.lit(-math.inf))
+
+
 def poisson_sf(observed: Column, expected: Column) -> Column:
-    """P(X >= observed): one less the sum of the terms below, each made from the one before."""
+    """P(X >= observed): one less the sum of the terms below, each made from the one before in logarithms, as large counts underflow."""
     n = F.greatest(F.floor(observed).cast("int"), F.lit(0))
-    start = F.struct(F.exp(-expected).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda s, k: F.struct((s["term"] * expected / k).alias("term"), (s["total"] + s["term"]).alias("total"))
+    start = F.struct((-expected).cast("double").alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, k: F.struct((s["term"] + _log(expected / k)).alias("term"), (s["total"] + F.exp(s["term"])).alias("total"))
     below = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["total"])
     return F.greatest(1 - below, F.lit(0.0))
 
@@ -22,17 +26,17 @@ def poisson_sf(observed: Column, expected: Column) -> Column:
 def binomial_sf(successes: Column, trials: Column, rate: float) -> Column:
     """P(X >= successes)."""
     n = F.greatest(successes.cast("int"), F.lit(0))
-    start = F.struct(F.pow(F.lit(1 - rate), trials).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda s, k: F.struct((s["term"] * (trials - k + 1) / k * (rate / (1 - rate))).alias("term"), (s["total"] + s["term"]).alias("total"))
+    start = F.struct((trials * F.lit(math.log1p(-rate))).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, k: F.struct((s["term"] + _log((trials - k + 1) / k * (rate / (1 - rate)))).alias("term"), (s["total"] + F.exp(s["term"])).alias("total"))
     below = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["total"])
     return F.greatest(1 - below, F.lit(0.0))
 
 
 def chi2_sf_even(x: Column, half_dof: Column) -> Column:
-    """The chi-squared tail for 2 * half_dof degrees of freedom: exp(-x/2) times a finite sum."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda s, k: F.struct((s["term"] * (x / 2) / k).alias("term"), (s["total"] + s["term"]).alias("total"))
-    return F.exp(-x / 2) * F.aggregate(F.sequence(F.lit(1), half_dof.cast("int")), start, step, lambda s: s["total"])
+    """The chi-squared tail for 2 * half_dof degrees of freedom: a finite sum, its terms in logarithms."""
+    start = F.struct((-x / 2).cast("double").alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, k: F.struct((s["term"] + _log(x / 2 / k)).alias("term"), (s["total"] + F.exp(s["term"])).alias("total"))
+    return F.aggregate(F.sequence(F.lit(1), half_dof.cast("int")), start, step, lambda s: s["total"])
 
 
 @F.pandas_udf(DoubleType())

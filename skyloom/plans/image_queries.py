@@ -62,7 +62,7 @@ def motions(spark, sf_dir):
     return relation(spark, sf_dir, "sources").select((F.col("region_id") % 5).alias("region_id"), "source_id", F.col("pmra").alias("x"), F.col("pmdec").alias("y"))
 
 
-DB = f"""{duck("sources")}, m AS (SELECT region_id % 5 AS region_id, source_id, pmra AS x, pmdec AS y FROM sources WHERE source_id % 3 = 0),
+DB = f"""{duck("sources")}, m AS (SELECT region_id % 5 AS region_id, source_id, pmra AS x, pmdec AS y FROM sources),
 p AS (SELECT a.region_id, a.source_id AS a, b.source_id AS b FROM m a JOIN m b ON a.region_id = b.region_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.2),
 c AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 3), cc AS (SELECT p.a, p.b FROM p WHERE a IN (FROM c) AND b IN (FROM c)),
 r AS (WITH RECURSIVE t(n, m) AS (SELECT id, id FROM c UNION SELECT cc.b, t.m FROM t JOIN cc ON cc.a = t.n) SELECT n, min(m) AS root FROM t GROUP BY n),
@@ -71,14 +71,14 @@ l AS (SELECT p.b AS source_id, min(root) AS cluster FROM p JOIN r ON r.n = p.a G
 
 @query("dbscan_comoving", f"""{DB} SELECT m.region_id, m.source_id, cluster FROM m LEFT JOIN l USING (source_id)""")
 def dbscan_comoving(spark, sf_dir):
-    return shown(spatial.dbscan(motions(spark, sf_dir).where("source_id % 3 = 0"), 1.2, 3, ["region_id"]), "region_id", "source_id", "cluster")
+    return shown(spatial.dbscan(motions(spark, sf_dir), 1.2, 3, ["region_id"]), "region_id", "source_id", "cluster")
 
 
 @query("comoving_groups", f"""{DB}, f AS (SELECT region_id, count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM m GROUP BY 1)
 SELECT m.region_id, cluster, count(*) AS n_members, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(stddev_pop(x), 6) AS std_x, round(stddev_pop(y), 6) AS std_y, round(sqrt(avg(x) ** 2 + avg(y) ** 2), 6) AS pm_total, round(greatest(any_value(f.n) * pi() * 1.44 / any_value(area), 0.1), 6) AS expected_field
 FROM m JOIN l USING (source_id) JOIN f ON f.region_id = m.region_id GROUP BY 1, 2""")
 def comoving_groups(spark, sf_dir):
-    points = motions(spark, sf_dir).where("source_id % 3 = 0")
+    points = motions(spark, sf_dir)
     return shown(spatial.comoving_groups(points, spatial.dbscan(points, 1.2, 3, ["region_id"]), 1.2), "region_id", "cluster", "n_members", "mean_x", "mean_y", "std_x", "std_y", "pm_total", "expected_field")
 
 

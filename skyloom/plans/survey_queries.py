@@ -90,11 +90,11 @@ def bonferroni(spark, sf_dir):
     return shown(relation(spark, sf_dir, "anomalies").select("seq", evaluation.bonferroni(F.col("p_value"), 100).alias("p_corrected")), digits=9)
 
 
-@query("fisher_groups", f"""{ANOM}, s AS (SELECT region_id, detector, sum(-2 * ln(greatest(p_value, 1e-300))) AS x, count(*) AS k FROM anomalies WHERE seq % 100 < 5 GROUP BY 1, 2),
+@query("fisher_groups", f"""{ANOM}, s AS (SELECT region_id, detector, sum(-2 * ln(greatest(p_value, 1e-300))) AS x, count(*) AS k FROM anomalies GROUP BY 1, 2),
 t AS (SELECT s.*, unnest(range(k)) AS i FROM s)
 SELECT region_id, detector, k, round(any_value(x), 6) AS statistic, round(sum(exp(-x / 2 + i * ln(x / 2) - lgamma(i + 1))), 6) AS p_combined FROM t GROUP BY region_id, detector, k""")
 def fisher_groups(spark, sf_dir):
-    return shown(evaluation.fisher(relation(spark, sf_dir, "anomalies").where("seq % 100 < 5"), ["region_id", "detector"]), "region_id", "detector", "k", "statistic", "p_combined")
+    return shown(evaluation.fisher(relation(spark, sf_dir, "anomalies"), ["region_id", "detector"]), "region_id", "detector", "k", "statistic", "p_combined")
 
 
 @query("quality_floor", f"""{ANOM} SELECT seq, detector FROM anomalies WHERE p_value <= CASE detector WHEN 'lens' THEN 0.0013 WHEN 'kinematic' THEN 0.01 WHEN 'wavelet' THEN 0.05 WHEN 'transient' THEN 0.0013 WHEN 'variability' THEN 0.01 END""")
@@ -110,13 +110,13 @@ def ranked_anomalies(spark, sf_dir):
     return shown(evaluation.ranked_anomalies(relation(spark, sf_dir, "anomalies"), 8), "region_id", "seq", "normalised", "rank")
 
 
-SCORES = f"{ANOM}, w AS (SELECT region_id, {', '.join(f'coalesce(max(score) FILTER (detector = {d!r}), 0) AS {d}' for d in ('lens', 'kinematic', 'wavelet', 'transient', 'variability'))} FROM anomalies WHERE seq % 7 < 2 GROUP BY 1)"
+SCORES = f"{ANOM}, w AS (SELECT region_id, {', '.join(f'coalesce(max(score) FILTER (detector = {d!r}), 0) AS {d}' for d in ('lens', 'kinematic', 'wavelet', 'transient', 'variability'))} FROM anomalies GROUP BY 1)"
 ENSEMBLE = "least(1, 0.09 * lens + 0.09 * kinematic + 0.09 * wavelet + 0.04 * transient + 0.09 * variability)"
 AGREE = "((lens > 0.3)::INT + (kinematic > 0.3)::INT + (wavelet > 0.3)::INT + (transient > 0.3)::INT + (variability > 0.3)::INT)"
 
 
 def matrix(spark, sf_dir):
-    return evaluation.score_matrix(relation(spark, sf_dir, "anomalies").where("seq % 7 < 2"))
+    return evaluation.score_matrix(relation(spark, sf_dir, "anomalies"))
 
 
 @query("ensemble_score", f"""{SCORES} SELECT region_id, round({ENSEMBLE}, 6) AS ensemble_score, {AGREE}::BIGINT AS n_agreeing FROM w""")
@@ -140,21 +140,21 @@ def verdicts(spark, sf_dir):
     return shown(evaluation.verdicts(evaluation.ensemble(matrix(spark, sf_dir)), 12 * F.col("wavelet"), 0.2), "region_id", "verdict", "verdict_confidence", "p_look_elsewhere", "significance_rating", "needs_review")
 
 
-@query("poisson_significance", f"""{ANOM}, s AS (SELECT region_id, count_if(score > 0.7) AS seen, count(*) / 12e0 AS expected FROM anomalies WHERE seq % 20 = 0 GROUP BY 1)
+@query("poisson_significance", f"""{ANOM}, s AS (SELECT region_id, count_if(score > 0.7) AS seen, count(*) / 12e0 AS expected FROM anomalies GROUP BY 1)
 SELECT region_id, seen::BIGINT AS seen, round(greatest(0, 1 - coalesce(list_sum(list_transform(range(seen::BIGINT), lambda i: exp(-expected + i * ln(expected) - lgamma(i + 1)))), 0)), 6) AS p FROM s""")
 def poisson_significance(spark, sf_dir):
-    counted = relation(spark, sf_dir, "anomalies").where("seq % 20 = 0").groupBy("region_id").agg(F.count_if(F.col("score") > 0.7).alias("seen"), (F.count("*") / 12).alias("expected"))
+    counted = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.count_if(F.col("score") > 0.7).alias("seen"), (F.count("*") / 12).alias("expected"))
     from skyloom.functions.pvalues import poisson_sf
 
     return shown(counted.withColumn("p", poisson_sf(F.col("seen").cast("double"), F.col("expected"))), "region_id", "seen", "p")
 
 
-@query("binomial_rates", f"""{ANOM}, s AS (SELECT region_id, count_if(score > 0.7) AS seen, count(*) AS n FROM anomalies WHERE seq % 20 = 0 GROUP BY 1)
+@query("binomial_rates", f"""{ANOM}, s AS (SELECT region_id, count_if(score > 0.7) AS seen, count(*) AS n FROM anomalies GROUP BY 1)
 SELECT region_id, round(greatest(0, 1 - coalesce(list_sum(list_transform(range(seen::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))), 0)), 6) AS p FROM s""")
 def binomial_rates(spark, sf_dir):
     from skyloom.functions.pvalues import binomial_sf
 
-    counted = relation(spark, sf_dir, "anomalies").where("seq % 20 = 0").groupBy("region_id").agg(F.count_if(F.col("score") > 0.7).alias("seen"), F.count("*").alias("n"))
+    counted = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.count_if(F.col("score") > 0.7).alias("seen"), F.count("*").alias("n"))
     return shown(counted.withColumn("p", binomial_sf(F.col("seen"), F.col("n"), 0.05)), "region_id", "p")
 
 
@@ -337,10 +337,10 @@ def novelty_euclidean(spark, sf_dir):
     return shown(learning.novelty(items, items.where("vec_id % 25 = 0")))
 
 
-@query("diversity", f"""{VEC}, d AS (SELECT a.label, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 3 AND b.vec_id % 10 = 3)
+@query("diversity", f"""{VEC}, d AS (SELECT a.label, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT label::BIGINT AS label, round(avg(d) / max(d), 6) AS diversity FROM d GROUP BY 1""")
 def diversity(spark, sf_dir):
-    return shown(learning.diversity(relation(spark, sf_dir, "vectors").where("vec_id % 10 = 3"), ["label"]))
+    return shown(learning.diversity(relation(spark, sf_dir, "vectors"), ["label"]))
 
 
 @query("genome_distance", f"""{VEC} SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.vec[1:8], b.vec[1:8]), lambda p: ((p[1]::DOUBLE - p[2]::DOUBLE) / 2) ** 2))), 6) AS d FROM vectors a JOIN vectors b ON b.vec_id = 0""")
@@ -358,17 +358,17 @@ def follow_ups(spark, sf_dir):
     return shown(own.withColumn("dominant", top).withColumn("n_steps", F.size(evaluation.follow_ups(classes[F.col("dominant")]))), "region_id", "dominant", "n_steps")
 
 
-@query("sub_detection_counts", f"""{ANOM}, g AS (SELECT region_id, count_if(detector = 'lens') AS l, count_if(detector = 'wavelet' AND score > 0.8) AS w FROM anomalies WHERE seq % 30 = 0 GROUP BY 1)
+@query("sub_detection_counts", f"""{ANOM}, g AS (SELECT region_id, count_if(detector = 'lens') AS l, count_if(detector = 'wavelet' AND score > 0.8) AS w FROM anomalies GROUP BY 1)
 SELECT region_id, (l + w)::BIGINT AS total, ((l > 0)::INT + (w > 0)::INT)::BIGINT AS n_kinds FROM g""")
 def sub_detection_counts(spark, sf_dir):
     c = F.col
-    nested = relation(spark, sf_dir, "anomalies").where("seq % 30 = 0").groupBy("region_id").agg(F.collect_list(F.when(c("detector") == "lens", c("seq"))).alias("arcs"), F.collect_list(F.when((c("detector") == "wavelet") & (c("score") > 0.8), c("seq"))).alias("objects"))
+    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.collect_list(F.when(c("detector") == "lens", c("seq"))).alias("arcs"), F.collect_list(F.when((c("detector") == "wavelet") & (c("score") > 0.8), c("seq"))).alias("objects"))
     return shown(evaluation.sub_detections(nested, ["arcs", "objects"]).withColumn("n_kinds", F.size("counts")), "region_id", "total", "n_kinds")
 
 
-@query("finding_anomalies_unnested", f"""{ANOM} SELECT region_id, seq, detector FROM anomalies WHERE seq % 10 = 0""")
+@query("finding_anomalies_unnested", f"""{ANOM} SELECT region_id, seq, detector FROM anomalies""")
 def finding_anomalies_unnested(spark, sf_dir):
-    nested = relation(spark, sf_dir, "anomalies").where("seq % 10 = 0").groupBy("region_id").agg(F.collect_list(F.struct("seq", "detector")).alias("anomalies"))
+    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.collect_list(F.struct("seq", "detector")).alias("anomalies"))
     kept = nested.select("region_id", F.to_json("anomalies").alias("body")).select("region_id", F.from_json("body", "array<struct<seq: bigint, detector: string>>").alias("anomalies"))
     return kept.select("region_id", F.explode("anomalies").alias("a")).select("region_id", "a.seq", "a.detector")
 
