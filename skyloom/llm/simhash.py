@@ -150,7 +150,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one document of each component: that with the smallest identifier."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    return keep_one(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without all but one document of each root of found (doc_id, text_hash, root, component_id)."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("x"))
     known, hash_, rank, known_k, hash_k = fresh(docs.columns, "known", "hash", "rank", "known_kept", "hash_kept")
     kept = kept.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("")).alias(known_k), F.col("x.text_hash").alias(hash_k))
