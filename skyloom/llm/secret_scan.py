@@ -42,8 +42,11 @@ KEY_OF = frozenset(("access", "account", "api", "auth", "client", "deploy", "enc
 #: What stands where a secret is to be put.
 PLACEHOLDERS = re.compile(r"(?i)change.?me|example|placeholder|dummy|sample|your[_-]|x{4,}|\*{3,}|\.{3,}|^(none|null|nil|true|false|undefined|todo|test)$|^[$%<{]|^(.)\2*$")
 SIGN = re.compile(r"=>|:=|(?<![=!<>:+*/|&^%-])=(?![=>~])|:(?![:/=])")
-NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["'`]?\]?)[ \t]*$""")
+NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)[?!]?(?:["'`]?\]?)[ \t]*$""")
 VALUE = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/_=~$!@#%^&*-])|([^\s"'`,;()\[\]{}<>]+))""")
+#: A type between a colon and an equals sign: names with paths, lifetimes and arguments in brackets, and unions of such.
+ATOM = r"""(?:&[ \t]*)?(?:'[A-Za-z_]+[ \t]+)?(?:(?:mut|dyn|impl|readonly)[ \t]+)?(?:["']?[A-Za-z_][A-Za-z0-9_.:]*["']?(?:[<\[][^\n=;(){}]{0,96}[>\]])?|\[[^\n=(){}]{0,96}\])(?:\[\])*[?!]?"""
+TYPE = re.compile(rf"[ \t]*{ATOM}(?:[ \t]*[|&][ \t]*{ATOM}){{0,8}}[ \t]*(?==(?![=>~]))")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 #: A name is looked for in so many characters before its sign.
 NAME_LENGTH = 128
@@ -70,11 +73,20 @@ def literal_weight(literal: str) -> float:
 
 
 def assigned_literals(text: str) -> Iterator[tuple[str, int, int]]:
-    """(name, start, end) of each literal that reaches a name, directly or through constants."""
+    """(name, start, end) of each literal that reaches a name, directly or through constants.
+
+    Where a type stands between name and sign, the name before the colon is assigned to. As "log: auth=..."
+    looks the same, the word before the sign is told as well, but is no constant.
+    """
     constants: dict[str, list[tuple[int, int]]] = {}
+    typed, owner = -1, ""
     for sign in SIGN.finditer(text):
         name = NAME.search(text, max(0, sign.start() - NAME_LENGTH), sign.start())
-        if not name:
+        if name and sign[0] == ":" and (kind := TYPE.match(text, sign.end())):
+            typed, owner = kind.end(), name[1]
+            continue
+        names = [owner] * (sign.start() == typed) + ([name[1]] if name else [])
+        if not names:
             continue
         at, spans = sign.end(), []
         while value := VALUE.match(text, at):
@@ -90,8 +102,8 @@ def assigned_literals(text: str) -> Iterator[tuple[str, int, int]]:
                 break
             at = plus.end()
         if spans:
-            constants[name[1]] = spans
-            yield from ((name[1], *span) for span in spans)
+            constants[names[0]] = spans
+            yield from ((name, *span) for name in names for span in spans)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

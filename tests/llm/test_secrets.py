@@ -77,6 +77,18 @@ def test_names_literals_and_constants():
     assert s.scan('token = "abcdef1234"')[1] == s.scan('token = "abcdef1234"')[0]
 
 
+def test_typed_assignments():
+    secret = "x9!Kq27ZpL"
+    for typed in ("db_pwd: str = {}", "const apiCred: string = {};", "private authToken?: string | null = {}", "val dbPass: String? = {}", "let signingKey: Optional<String> = {}", "static API_CRED: &'static str = {};",
+                  "db_pwd: Optional[Dict[str, str]] = {}", "let pwd: std::string::String = {}", "creds: string[] = {}", "db_pwd: 'SecretStr' = {}", "const PWD: &[u8] = b{}"):
+        assert literals(typed.format(f'"{secret}"')) == [secret], typed
+    assert literals(f'K: str = "{secret}"\ncfg.db_pwd = K') == [secret]
+    assert literals(f'K: Final[str] = "{secret}"\nconst dbPwd: string = K') == [secret]
+    assert literals(f"log: auth={secret}") == [secret]
+    for clean in (f'label: str = "{secret}"', f'label: str = "{secret}"\ndb_pwd = str(x)', "pwd: SecretStr = load()", 'pwd: str = "changeme"', "pwd: str == 3"):
+        assert literals(clean) == [], clean
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (None, "token=abcdefgh", "b"), (2, "w " * 100_000 + "token=abcdefgh", "c"), (2, "token=abcdefgh", "d"), (2, "token=abcdefgh", "d")], "doc_id long, text string, spans string")
     got = s.find_secrets(docs).collect()
