@@ -6,8 +6,11 @@ of them whole, near where it stood. So every distinct line gives its own segment
 each length from its own down to edits less, those of its substrings that could be such a segment as
 probe keys. Lines that share a key are candidates, verified by a banded bit-parallel edit distance.
 
-A key with more than hot_key lines would give many pairs. At one edit its lines are told apart
-exactly without pairs: the rest of two such lines differs by one substitution, then both give the same
+A key with more than hot_key lines would give many pairs. At more than one edit its lines are compared
+with its least one. Where that leaves more than one component, the rest of the line (without the
+segment that is equal) is split into edits + 1 segments again, twice if need be; what is equal there too
+is compared as before. Only what is left then makes the pairs of different components.
+At one edit such lines are told apart exactly without pairs: the rest of two such lines differs by one substitution, then both give the same
 string with that place left out, or by one insertion, then one is the other with a place left out; what
 meets on such a string is linked to its least member. With more edits the pairs of a hot key are made.
 
@@ -15,8 +18,11 @@ Of a class, the document with the smallest identifier keeps its lines. Elsewhere
 dropped, unless such lines make up more than max_share of a document: that is a copy, which document
 dedup is to judge. Within any document only the first line of a class stays.
 
-Defined results: null and empty texts have no lines to drop; lines under min_chars characters are never
-dropped; a null identifier sorts after all others, and documents with null identifiers only keep their
+Lines under min_chars characters are too short for useful segments: those of exact_chars or more
+form classes of equal lines.
+
+Defined results: null and empty texts have no lines to drop; lines under exact_chars (min_chars unless
+given) are never dropped; a null identifier sorts after all others, and documents with null identifiers only keep their
 lines; rows that agree in identifier and text share one decision; an empty table gives an empty one;
 other columns are carried unchanged, whatever their names.
 """
@@ -34,6 +40,10 @@ from skyloom.llm.graph import components
 BREAK = "\n"
 #: Slots of the broadcast sieve that keeps most texts without candidates from moving.
 SIEVE = 1 << 18
+#: What op8 and the pipeline use: three edits.
+WHOLE = {"edits": 3}
+#: How often a hot key's lines are split again.
+AGAIN = 2
 
 
 def let(value: Column, body) -> Column:
@@ -89,15 +99,15 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + (F.lit(i) >= short).cast("int")
 
 
-def line_keys(line: Column, length: Column, edits: int) -> list[tuple[int, int, Column]]:
-    """(segment, length less than the line's own by, key); the keys with offset 0 at the line's own length come first, by segment."""
+def line_keys(line: Column, length: Column, edits: int) -> list[tuple[int, int, int, Column]]:
+    """(segment, length less than the line's own by, offset, key); the keys with offset 0 at the line's own length come first, by segment."""
     out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             start, size = segment(length - less, i, edits)
             for offset in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 key = F.xxhash64(line.substr(start + offset, size), length - less, F.lit(i))
-                out.append((less == 0 and offset == 0, i, less, key))
+                out.append((less == 0 and offset == 0, i, less, offset, key))
     return [x[1:] for x in sorted(out, key=lambda x: not x[0])]
 
 
@@ -128,37 +138,87 @@ def _hot_links(hot: DataFrame) -> DataFrame:
     return variants.join(centre, ["key", "variant"]).where("h <> b").select(F.col("h").alias("a"), "b")
 
 
-def line_links(lines: DataFrame, texts: DataFrame, edits: int, hot_key: int) -> DataFrame:
-    """Edges (a, b) between the hashes of distinct lines. lines: h, n and keys k0, k1, ...; texts: h and line."""
-    shape = [(i, less) for i, less, _ in line_keys(F.lit(""), F.lit(1), edits)]
-    each = F.array(*[F.struct(F.col(f"k{j}").alias("key"), F.lit(i).alias("segment"), F.lit(less).alias("less"), F.lit(j <= edits).alias("own")) for j, (i, less) in enumerate(shape)])
-    keyed = lines.select("h", "n", F.explode(each).alias("k")).select("h", "n", "k.*")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("own").alias("owned")).where("owned >= 1 and all >= 2")
-    members = materialize(keyed.join(counts.select("key", "all"), "key"), "line-members")
-    sieve = members.select(F.pmod("h", F.lit(SIEVE)).alias("slot")).distinct()  # SIEVE rows at most, whatever the data are
-    likely = texts.join(F.broadcast(sieve), F.pmod("h", F.lit(SIEVE)) == F.col("slot"), "left_semi")
-    known = materialize(likely.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "line-texts")
-    few = members.where(F.col("all") <= hot_key) if edits == 1 else members
-    left = few.where("own").select("key", F.col("h").alias("a"))
-    right = few.select("key", F.col("h").alias("b"), "own")
-    pairs = left.join(right, "key").where("a <> b and (not own or a < b)").select("a", "b").distinct()
-    pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    links = pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
-    if edits == 1:
-        links = links.union(_hot_links(members.where(F.col("all") > hot_key).join(known, "h")))
-    return links
+def _keyed(line: Column, length: Column, edits: int, salt: Column | None = None) -> Column:
+    """The keys of a line as an array of structs: key, and j, which names it in line_keys."""
+    keys = [x for *_, x in line_keys(line, length, edits)]
+    return F.array(*[F.struct((x if salt is None else F.xxhash64(salt, x)).alias("key"), F.lit(j).cast("byte").alias("j")) for j, x in enumerate(keys)])
+
+
+def _met(keyed: DataFrame, edits: int) -> DataFrame:
+    """keyed with all, the rows of its key, where the key joins an own segment with another row."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.col("j") <= edits).alias("owned")).where("owned >= 1 and all >= 2")
+    return keyed.join(counts.select("key", "all"), "key")
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 24, max_share: float = 0.5, hot_key: int = 64) -> DataFrame:
+def _pairs(few: DataFrame, edits: int) -> DataFrame:
+    left = few.where(F.col("j") <= edits).select("key", F.col("h").alias("a"))
+    right = few.select("key", F.col("h").alias("b"), (F.col("j") <= edits).alias("own"))
+    return left.join(right, "key").where("a <> b and (not own or a < b)").select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    return pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+
+
+def _cut(rest: Column, j: Column, edits: int) -> Column:
+    """rest without the segment that key j holds."""
+    out = None
+    for k, (i, less, offset, _) in enumerate(line_keys(F.lit(""), F.lit(1), edits)):
+        start, size = segment(F.length(rest) - less, i, edits)
+        cut = F.concat(rest.substr(F.lit(1), start + offset - 1), rest.substr(start + offset + size, F.length(rest)))
+        out = F.when(j == k, cut) if out is None else out.when(j == k, cut)
+    return out
+
+
+def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: int, hot_key: int) -> DataFrame:
+    """hot (key, j, h), edges among all lines: the edges, and more, that connect whatever hot's close pairs connect."""
+    less = F.element_at(F.array(*[F.lit(x[1]).cast("byte") for x in line_keys(F.lit(""), F.lit(1), edits)]), F.col("j") + 1)
+    hot = materialize(hot.select("key", "j", "h").join(known.select("h", F.col("line").alias("rest")), "h"), "line-hot")
+    for again in range(AGAIN + 1):
+        least = hot.where(F.col("j") <= edits).groupBy("key").agg(F.min("h").alias("b"))
+        star = hot.join(least, "key").where("h <> b").select(F.col("h").alias("a"), "b").distinct()
+        edges = materialize(edges.union(_verified(star, known, edits)), "line-edges")
+        roots = materialize(components(edges), "line-roots")
+        named = hot.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+        open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        named = materialize(named.join(open_, "key"), "line-open")
+        if not named.limit(1).count():
+            return edges
+        if again == AGAIN:
+            left = named.where(F.col("j") <= edits).select("key", F.col("h").alias("a"), F.col("root").alias("of_a"))
+            right = named.select("key", F.col("h").alias("b"), F.col("root").alias("of_b"))
+            return edges.union(_verified(left.join(right, "key").where("of_a <> of_b").select("a", "b").distinct(), known, edits))
+        part = named.select("key", "h", less.alias("less"), (F.col("j") <= edits).alias("own"), _cut(F.col("rest"), F.col("j"), edits).alias("rest"))
+        finer = part.select("h", "own", "less", "rest", F.explode(_keyed(F.col("rest"), F.length("rest"), edits, F.col("key"))).alias("k")).select("h", "own", F.col("less").alias("by"), "rest", "k.*")
+        finer = finer.where((less == F.col("by")) | (F.col("own") & (F.col("j") <= edits))).select("h", "rest", "key", "j")
+        finer = materialize(_met(finer, edits), "line-finer")
+        edges = edges.union(_verified(_pairs(finer.where(F.col("all") <= hot_key), edits), known, edits))
+        hot = finer.where(F.col("all") > hot_key).drop("all")
+    return edges
+
+
+def line_links(distinct: DataFrame, edits: int, hot_key: int) -> DataFrame:
+    """Edges (a, b) between the hashes h of distinct lines (h, n, line)."""
+    keyed = distinct.select("h", F.explode(_keyed(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.*")
+    members = materialize(_met(keyed, edits), "line-members")
+    known = materialize(distinct.select("h", "n", "line").join(members.select("h").distinct(), "h", "left_semi"), "line-texts")
+    links = _verified(_pairs(members.where(F.col("all") <= hot_key), edits), known, edits)
+    hot = members.where(F.col("all") > hot_key)
+    if edits != 1:
+        return _hot_components(hot, known, links, edits, hot_key)
+    shape = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(less).alias("less")) for i, less, *_ in line_keys(F.lit(""), F.lit(1), edits)])
+    return links.union(_hot_links(hot.select("key", "h", F.element_at(shape, F.col("j") + 1).alias("s")).select("key", "h", "s.*").join(known, "h")))
+
+
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 24, max_share: float = 0.5, hot_key: int = 64, exact_chars: int | None = None) -> DataFrame:
     """ih, th and dropped, the sorted numbers of lines to drop (from 0), for documents that lose lines."""
     if not 0 < edits * 2 + 2 < min_chars:
         raise ValueError("lines must be longer than twice the segments")
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    keys = [x.alias(f"k{j}") for j, (_, _, x) in enumerate(line_keys(F.col("line"), F.col("n"), edits))]
-    all_ = materialize(lines.select("id", "ih", "th", "at", "n", "h", *keys), "lines")
-    names = [f"k{j}" for j in range(len(keys))]
-    distinct = materialize(all_.groupBy("h", "n", *names).agg(F.count("*").alias("times"), F.min("id").alias("least")), "distinct-lines")
-    roots = components(line_links(distinct, lines.select("h", "line"), edits, hot_key))
+    lines = lines_of(docs, id_col, text_col, min_chars if exact_chars is None else exact_chars)
+    all_ = materialize(lines.select("id", "ih", "th", "at", "n", "h"), "lines")
+    distinct = materialize(lines.groupBy("h", "n", "line").agg(F.count("*").alias("times"), F.min("id").alias("least")), "distinct-lines")
+    roots = components(line_links(distinct.where(F.col("n") >= min_chars), edits, hot_key))
     linked = materialize(roots.withColumnRenamed("node", "h").join(distinct.select("h", "least", F.col("times").alias("n")), "h"), "line-classes")
     owners = linked.groupBy("root").agg(F.min("least").alias("owner"))
     again = linked.join(owners, "root").select("h", F.col("root").alias("class"), "owner", "n")
