@@ -30,3 +30,8 @@ def test_hot_keys_at_three_edits(spark):
         pool += variants(rng, base, 4, 3)
     rows = [(i, x) for i, x in enumerate(pool)]
     assert got(frame(spark, rows), edits=3, hot_key=3, max_share=1.0) == brute(rows, 3, max_share=1.0)
+
+
+def test_query_finds_short_lines(spark, tmp_path):
+    own = "an own line which no other document has at all, and long"
+    assert report(spark, [(1, "All rights reserved.\n\n"), (2, f"{own}\nALL rights reserved. \n\n")], tmp_path) == {1: "", 2: "1"}
