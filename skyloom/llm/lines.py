@@ -40,8 +40,8 @@ from skyloom.llm.graph import components
 BREAK = "\n"
 #: Slots of the broadcast sieve that keeps most texts without candidates from moving.
 SIEVE = 1 << 18
-#: What op8 and the pipeline use: three edits, short lines whole.
-WHOLE = {"edits": 3, "exact_chars": 1}
+#: What op8 and the pipeline use: three edits, short lines whole, repeats dropped whatever their share.
+WHOLE = {"edits": 3, "exact_chars": 1, "max_share": 1.0}
 #: How often a hot key's lines are split again.
 AGAIN = 2
 

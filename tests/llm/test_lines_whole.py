@@ -35,3 +35,8 @@ def test_hot_keys_at_three_edits(spark):
 def test_query_finds_short_lines(spark, tmp_path):
     own = "an own line which no other document has at all, and long"
     assert report(spark, [(1, "All rights reserved.\n\n"), (2, f"{own}\nALL rights reserved. \n\n")], tmp_path) == {1: "", 2: "1"}
+
+
+def test_query_drops_repeats_whatever_their_share(spark, tmp_path):
+    line = "they met at nine and walked along the river nst der garden"
+    assert report(spark, [(1, line), (2, line)], tmp_path) == {1: "", 2: "0"}
