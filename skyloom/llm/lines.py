@@ -158,7 +158,8 @@ def _pairs(few: DataFrame, edits: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+    near = F.levenshtein("x", "y", edits) >= 0  # the same bound in compiled code, which spares far pairs the columns below
+    return pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
 
 def _cut(rest: Column, j: Column, edits: int) -> Column:
@@ -200,7 +201,7 @@ def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: i
 
 def line_links(distinct: DataFrame, edits: int, hot_key: int) -> DataFrame:
     """Edges (a, b) between the hashes h of distinct lines (h, n, line)."""
-    keyed = distinct.select("h", F.explode(_keyed(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.*")
+    keyed = materialize(distinct.select("h", F.explode(_keyed(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.*"), "line-keys")
     members = materialize(_met(keyed, edits), "line-members")
     known = materialize(distinct.select("h", "n", "line").join(members.select("h").distinct(), "h", "left_semi"), "line-texts")
     links = _verified(_pairs(members.where(F.col("all") <= hot_key), edits), known, edits)
