@@ -47,3 +47,11 @@ def test_dbscan_and_diversity_against_brute_force(spark):
     d = [math.dist(a[2], b[2]) for a in vectors for b in vectors if a[1] < b[1]]
     got = learning.diversity(spark.createDataFrame(vectors, "label long, vec_id long, vec array<double>"), ["label"]).first()["diversity"]
     assert abs(got - sum(d) / len(d) / max(d)) < 1e-9
+
+
+def test_mahalanobis_references_are_the_last(spark, sf):
+    items = relation(spark, sf, "vectors")
+    last = sorted(r[0] for r in items.select("vec_id").collect())[-500:]
+    want = learning.mahalanobis_novelty(items, items.where(F.col("vec_id").isin(last))).select("vec_id", F.round("distance", 6).alias("d"))
+    got = survey_queries.novelty_mahalanobis(spark, sf).select("vec_id", F.col("distance").alias("d"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
