@@ -89,32 +89,50 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
         return F.when(F.size(text) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(text), F.lit(1))), start, step, lambda s: s["score"])).otherwise(m)
 
     chars = lambda x: F.when(F.length(x) > 0, F.split(x, "")).otherwise(F.array().cast("array<string>"))
-    return let(F.struct(chars(a).alias("p"), chars(b).alias("t")), run)
+    alike = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)) - 1
 
+    def middle(c: Column) -> Column:
+        """The characters between what both begin and both end with, which no shortest way of edits touches."""
+        p, t = c["p"], c["t"]
+        least = F.least(F.size(p), F.size(t))
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+        def cut(head: Column) -> Column:
+            tail = F.least(alike(F.reverse(p), F.reverse(t)), least - head)
+            return let(tail, lambda y: F.struct(*[F.slice(x, head.cast("int") + 1, (F.size(x) - head - y).cast("int")).alias(n) for x, n in ((p, "p"), (t, "t"))]))
+
+        return let(alike(p, t), cut)
+
+    return F.when(a == b, F.lit(0)).otherwise(let(let(F.struct(chars(a).alias("p"), chars(b).alias("t")), middle), run))
+
+
+def segment(length: Column, i: Column | int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment i (from 0) of a line: equal sizes, the last ones longer by one."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    short = (edits + 1) - (length - base * (edits + 1))
-    return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + (F.lit(i) >= short).cast("int")
+    i = F.lit(i) if isinstance(i, int) else i
+    long = length % (edits + 1)
+    base = ((length - long) / (edits + 1)).cast("int")
+    short = (edits + 1) - long
+    return base * i + F.greatest(i - short, F.lit(0)) + 1, base + (i >= short).cast("int")
 
 
-def line_keys(line: Column, length: Column, edits: int) -> list[tuple[int, int, int, Column]]:
-    """(segment, length less than the line's own by, offset, key); the keys with offset 0 at the line's own length come first, by segment."""
+def key_shapes(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, length less than the line's own by, offset) of a line's keys; those of its own segments come first, by segment."""
     out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
-            start, size = segment(length - less, i, edits)
-            for offset in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                key = F.xxhash64(line.substr(start + offset, size), length - less, F.lit(i))
-                out.append((less == 0 and offset == 0, i, less, offset, key))
-    return [x[1:] for x in sorted(out, key=lambda x: not x[0])]
+            out += [(i, less, offset) for offset in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
+    return sorted(out, key=lambda x: x[1:] != (0, 0))
+
+
+def shape_rows(edits: int) -> Column:
+    """key_shapes as an array of structs: j, which counts them, i, less and offset."""
+    return F.array(*[F.struct(F.lit(j).cast("byte").alias("j"), F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(offset).alias("offset")) for j, (i, less, offset) in enumerate(key_shapes(edits))])
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, ih and th (which name the document), at, n, line and h for each line of min_chars or more."""
     text, doc_id = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
-    each = docs.select(doc_id.alias("id"), id_hash(doc_id).alias("ih"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, BREAK)).alias("at", "raw"))
+    each = docs.select(doc_id.alias("id"), id_hash(doc_id).alias("ih"), F.xxhash64(text).alias("th"), text.alias("text"))
+    each = each.select("id", "ih", "th", F.posexplode(F.split("text", BREAK)).alias("at", "raw"))
     each = each.select("id", "ih", "th", "at", F.lower(F.trim("raw")).alias("line"))
     return each.where(F.length("line") >= min_chars).select("*", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
 
@@ -138,10 +156,15 @@ def _hot_links(hot: DataFrame) -> DataFrame:
     return variants.join(centre, ["key", "variant"]).where("h <> b").select(F.col("h").alias("a"), "b")
 
 
-def _keyed(line: Column, length: Column, edits: int, salt: Column | None = None) -> Column:
-    """The keys of a line as an array of structs: key, and j, which names it in line_keys."""
-    keys = [x for *_, x in line_keys(line, length, edits)]
-    return F.array(*[F.struct((x if salt is None else F.xxhash64(salt, x)).alias("key"), F.lit(j).cast("byte").alias("j")) for j, x in enumerate(keys)])
+def _keyed(df: DataFrame, line: str, edits: int, salt: str | None = None) -> DataFrame:
+    """df with a row for each key of a line: key, and j, which names it in key_shapes.
+
+    The shapes are exploded before their keys are made, so that the code that makes one is short enough to be compiled.
+    """
+    each = df.select("*", F.length(line).alias("length")).select("*", F.inline(shape_rows(edits)))
+    start, size = segment(F.col("length") - F.col("less"), F.col("i"), edits)
+    parts = [F.col(line).substr(start + F.col("offset"), size), F.col("length") - F.col("less"), F.col("i")]
+    return each.select(*df.columns, "j", F.xxhash64(*([F.col(salt)] if salt else []), *parts).alias("key"))
 
 
 def _met(keyed: DataFrame, edits: int) -> DataFrame:
@@ -157,24 +180,27 @@ def _pairs(few: DataFrame, edits: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     near = F.levenshtein("x", "y", edits) >= 0  # the same bound in compiled code, which spares far pairs the columns below
-    return pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+    pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near).repartition(parts, "a", "b")
+    return pairs.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
 
 def _cut(rest: Column, j: Column, edits: int) -> Column:
     """rest without the segment that key j holds."""
-    out = None
-    for k, (i, less, offset, _) in enumerate(line_keys(F.lit(""), F.lit(1), edits)):
-        start, size = segment(F.length(rest) - less, i, edits)
-        cut = F.concat(rest.substr(F.lit(1), start + offset - 1), rest.substr(start + offset + size, F.length(rest)))
-        out = F.when(j == k, cut) if out is None else out.when(j == k, cut)
-    return out
+
+    def without(shape: Column) -> Column:
+        start, size = segment(F.length(rest) - shape["less"], shape["i"], edits)
+        start = start + shape["offset"]
+        return F.concat(rest.substr(F.lit(1), start - 1), rest.substr(start + size, F.length(rest)))
+
+    return let(F.get(shape_rows(edits), j), without)
 
 
 def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: int, hot_key: int) -> DataFrame:
     """hot (key, j, h), edges among all lines: the edges, and more, that connect whatever hot's close pairs connect."""
-    less = F.element_at(F.array(*[F.lit(x[1]).cast("byte") for x in line_keys(F.lit(""), F.lit(1), edits)]), F.col("j") + 1)
+    less = F.get(shape_rows(edits), F.col("j").cast("int"))["less"]
     hot = materialize(hot.select("key", "j", "h").join(known.select("h", F.col("line").alias("rest")), "h"), "line-hot")
     for again in range(AGAIN + 1):
         least = hot.where(F.col("j") <= edits).groupBy("key").agg(F.min("h").alias("b"))
@@ -190,8 +216,8 @@ def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: i
             left = named.where(F.col("j") <= edits).select("key", F.col("h").alias("a"), F.col("root").alias("of_a"))
             right = named.select("key", F.col("h").alias("b"), F.col("root").alias("of_b"))
             return edges.union(_verified(left.join(right, "key").where("of_a <> of_b").select("a", "b").distinct(), known, edits))
-        part = named.select("key", "h", less.alias("less"), (F.col("j") <= edits).alias("own"), _cut(F.col("rest"), F.col("j"), edits).alias("rest"))
-        finer = part.select("h", "own", "less", "rest", F.explode(_keyed(F.col("rest"), F.length("rest"), edits, F.col("key"))).alias("k")).select("h", "own", F.col("less").alias("by"), "rest", "k.*")
+        part = named.select("key", "h", less.alias("by"), (F.col("j") <= edits).alias("own"), _cut(F.col("rest"), F.col("j").cast("int"), edits).alias("rest"))
+        finer = _keyed(part.withColumnRenamed("key", "of"), "rest", edits, "of").drop("of")
         finer = finer.where((less == F.col("by")) | (F.col("own") & (F.col("j") <= edits))).select("h", "rest", "key", "j")
         finer = materialize(_met(finer, edits), "line-finer")
         edges = edges.union(_verified(_pairs(finer.where(F.col("all") <= hot_key), edits), known, edits))
@@ -201,15 +227,15 @@ def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: i
 
 def line_links(distinct: DataFrame, edits: int, hot_key: int) -> DataFrame:
     """Edges (a, b) between the hashes h of distinct lines (h, n, line)."""
-    keyed = materialize(distinct.select("h", F.explode(_keyed(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.*"), "line-keys")
+    keyed = materialize(_keyed(distinct.select("h", "line"), "line", edits).drop("line"), "line-keys")
     members = materialize(_met(keyed, edits), "line-members")
     known = materialize(distinct.select("h", "n", "line").join(members.select("h").distinct(), "h", "left_semi"), "line-texts")
     links = _verified(_pairs(members.where(F.col("all") <= hot_key), edits), known, edits)
     hot = members.where(F.col("all") > hot_key)
     if edits != 1:
         return _hot_components(hot, known, links, edits, hot_key)
-    shape = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(less).alias("less")) for i, less, *_ in line_keys(F.lit(""), F.lit(1), edits)])
-    return links.union(_hot_links(hot.select("key", "h", F.element_at(shape, F.col("j") + 1).alias("s")).select("key", "h", "s.*").join(known, "h")))
+    shape = F.get(shape_rows(edits), F.col("j").cast("int"))
+    return links.union(_hot_links(hot.select("key", "h", shape["i"].alias("segment"), shape["less"].alias("less")).join(known, "h")))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = 24, max_share: float = 0.5, hot_key: int = 64, exact_chars: int | None = None) -> DataFrame:
