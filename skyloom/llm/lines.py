@@ -1,10 +1,11 @@
-"""Line dedup by a segment-partition edit join, in DataFrame operations only.
+"""Line dedup by a segment-partition edit join.
 
 Lines are compared trimmed and in lower case; two are linked at so many edits or fewer, and linked
 lines form classes. A line of length l is split into edits + 1 segments; a line within the edits holds one
 of them whole, near where it stood. So every distinct line gives its own segments as index keys and, for
 each length from its own down to edits less, those of its substrings that could be such a segment as
-probe keys. Lines that share a key are candidates, verified by a banded bit-parallel edit distance.
+probe keys. Lines that share a key are candidates (module line_keys, in Arrow batches), verified by a banded
+bit-parallel edit distance as column expressions. All else is DataFrame operations.
 
 A key with more than hot_key lines would give many pairs. At more than one edit its lines are compared
 with its least one. Where that leaves more than one component, the rest of the line (without the
@@ -34,12 +35,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm import line_keys
 from skyloom.llm.common import fresh, join_unique, materialize
 from skyloom.llm.graph import components
 
 BREAK = "\n"
 #: Slots of the broadcast sieve that keeps most texts without candidates from moving.
-SIEVE = 1 << 18
+SIEVE = 1 << 20
 #: What op8 and the pipeline use: three edits, short lines whole, repeats dropped whatever their share.
 WHOLE = {"edits": 3, "exact_chars": 1, "max_share": 1.0}
 #: How often a hot key's lines are split again.
@@ -225,13 +227,16 @@ def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: i
     return edges
 
 
-def line_links(distinct: DataFrame, edits: int, hot_key: int) -> DataFrame:
-    """Edges (a, b) between the hashes h of distinct lines (h, n, line)."""
-    keyed = materialize(_keyed(distinct.select("h", "line"), "line", edits).drop("line"), "line-keys")
-    members = materialize(_met(keyed, edits), "line-members")
-    known = materialize(distinct.select("h", "n", "line").join(members.select("h").distinct(), "h", "left_semi"), "line-texts")
-    links = _verified(_pairs(members.where(F.col("all") <= hot_key), edits), known, edits)
-    hot = members.where(F.col("all") > hot_key)
+def line_links(lines: DataFrame, edits: int, hot_key: int) -> DataFrame:
+    """Edges (a, b) between the hashes h of lines (h, line; repeats allowed)."""
+    found = materialize(line_keys.candidates(lines, key_shapes(edits), edits, hot_key), "line-candidates")
+    need = materialize(line_keys.in_need(found).distinct(), "line-need")
+    slot = F.pmod("h", F.lit(SIEVE))
+    sieve = need.select(slot.alias("slot")).distinct()  # SIEVE rows at most, whatever the data are
+    likely = lines.select("h", "line").join(F.broadcast(sieve), slot == F.col("slot"), "left_semi")
+    known = materialize(likely.join(need, "h").dropDuplicates(["h"]).select("h", F.length("line").alias("n"), "line"), "line-texts")
+    links = _verified(line_keys.pairs(found), known, edits)
+    hot = line_keys.hot_lines(found)
     if edits != 1:
         return _hot_components(hot, known, links, edits, hot_key)
     shape = F.get(shape_rows(edits), F.col("j").cast("int"))
@@ -244,8 +249,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("lines must be longer than twice the segments")
     lines = lines_of(docs, id_col, text_col, min_chars if exact_chars is None else exact_chars)
     all_ = materialize(lines.select("id", "ih", "th", "at", "n", "h"), "lines")
-    distinct = materialize(lines.groupBy("h", "n", "line").agg(F.count("*").alias("times"), F.min("id").alias("least")), "distinct-lines")
-    roots = components(line_links(distinct.where(F.col("n") >= min_chars), edits, hot_key))
+    distinct = materialize(all_.groupBy("h").agg(F.count("*").alias("times"), F.min("id").alias("least")), "distinct-lines")
+    roots = components(line_links(lines.where(F.col("n") >= min_chars), edits, hot_key))
     linked = materialize(roots.withColumnRenamed("node", "h").join(distinct.select("h", "least", F.col("times").alias("n")), "h"), "line-classes")
     owners = linked.groupBy("root").agg(F.min("least").alias("owner"))
     again = linked.join(owners, "root").select("h", F.col("root").alias("class"), "owner", "n")
@@ -267,7 +272,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and dropped (the numbers of dropped lines, comma-joined) of every document."""
     text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), id_hash(F.col(f"`{id_col}`")).alias("ih"), F.xxhash64(text).alias("th"), F.coalesce(F.regexp_count(text, F.lit(BREAK)) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), id_hash(F.col(f"`{id_col}`")).alias("ih"), F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(BREAK), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = slim.join(line_decisions(docs, id_col, text_col, **options), ["ih", "th"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
