@@ -20,21 +20,61 @@ def parse(sample, text):
     return count
 
 
-def test_phrases_against_brute_force():
-    rng = random.Random(2)
-    sample = "".join(rng.choice("abc d") for _ in range(400))
+def squeezed(text):
+    read = "".join(x if x.isalpha() else " " for x in text)
+    while "  " in read:
+        read = read.replace("  ", " ")
+    return read
+
+
+def normal(text, sample):
+    """text as the parser reads it: blanks for anything but letters, NUL for letters that sample lacks."""
+    return "".join(x if x == " " or x in sample else "\0" for x in squeezed(text))
+
+
+def check_phrases(sample, texts):
+    clean = squeezed(sample)
     model = langid.Automaton(sample)
-    clean = " ".join(sample.split())
-    texts = ["a", "xyz", "".join(rng.choice("abc d!x") for _ in range(200)), sample[50:250]]
     points = [langid.code_points(x) for x in texts]
     got, sizes = langid.phrases(model, np.concatenate(points), np.cumsum([len(x) for x in points]))
-    for text, c, n in zip(texts, got, sizes, strict=True):
-        norm = "".join(x if x.isalpha() else " " for x in text)
-        while "  " in norm:
-            norm = norm.replace("  ", " ")
-        assert n == len(norm)
-        read = "".join("\0" if x not in "abcd " else x for x in norm)
-        assert abs(c - parse(clean, read)) <= 1 + read.count("\0"), (text, c, parse(clean, read))
+    for text, c, n in zip(texts, got.tolist(), sizes.tolist(), strict=True):
+        read = normal(text, clean)
+        assert (c, n) == (parse(clean, read), len(read)), (text[:80], c)
+
+
+def test_phrases_against_brute_force():
+    rng = random.Random(2)
+    sample = "".join(rng.choice("abc d") for _ in range(400))
+    check_phrases(sample, ["a", "xyz", "xax", "aax xb", "".join(rng.choice("abc d!x") for _ in range(200)), sample[50:250]])
+    for _ in range(20):
+        check_phrases(sample, ["".join(rng.choice("abcdxy !é") for _ in range(rng.randint(1, 1500))) for _ in range(5)])
+
+
+def test_phrases_of_long_texts_and_large_alphabets():
+    rng = random.Random(3)
+    ideographs = "".join(chr(0x4E00 + rng.randrange(1500)) for _ in range(6000))
+    check_phrases(ideographs, [ideographs[1000:3000], ideographs[:700] + "\u9fa0" + ideographs[5:900], "".join(rng.sample(ideographs, 900))])
+    sample = "".join(rng.choice("ab ") for _ in range(3000))
+    check_phrases(sample, [sample, sample[7:2990] * 2, "ab" * 1500, "a" * 3000, "".join(rng.choice("ab ") for _ in range(5000))])
+
+
+def test_predictions_against_brute_force(spark):
+    rng = random.Random(6)
+    words = {"x": ["abra", "cada", "bra"], "y": ["cadab", "rara", "dab"], "z": ["żółć", "abra", "łka"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(1, 300))), k if i % 5 else None) for i in range(60) for k in [rng.choice("xyz")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learn(docs, docs.doc_id % 4 != 2, "doc_id", "text", "lang", rows=3, row_chars=400)
+    whole = {t for i, t, k in rows if k and i % 4 != 2 and len(t) <= 400}
+    assert set(samples) == {"x", "y", "z"} and all(any(t in s for t in whole) for s in samples.values())
+
+    def rate(text, sample):
+        clean = squeezed(sample)
+        read = normal(text.lower(), clean)
+        return parse(clean, read) * math.log2(len(clean) + 2) / len(read)
+
+    for r in langid.predict(docs, samples).collect():
+        rates = sorted((rate(rows[r["doc_id"]][1], s), k) for k, s in samples.items())
+        assert r["lang_pred"] == rates[0][1] and abs(r["score"] - (1 - rates[0][0] / rates[1][0])) < 1e-9
 
 
 def test_language_accuracy_and_edges(spark, sf):
