@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -89,6 +90,47 @@ def test_typed_assignments():
         assert literals(clean) == [], clean
 
 
+def test_joined_constants_cost_no_more_than_their_text():
+    text = 'a = "x9Kq27ZpLw"\n' + "a = a + a\n" * 60 + "db_pwd = a\n"
+    assert literals(text) == ["x9Kq27ZpLw"]
+    chain = 'a = "x9Kq27ZpLw"\n' + "".join(f'a = a + "p{i}Lm9x"\n' for i in range(3000))
+    assert literals(chain) == [] and len(literals(chain + "auth = a")) > 1000
+
+
+def test_more_syntax():
+    secret = "x9!Kq27ZpL"
+    long = "_n" * 90
+    for form in ('db_pwd = """{}"""', "db_pwd = \'\'\'{}\'\'\'", 'user, db_pwd = "ann", "{}"', 'call(x, db_pwd="{}")', "<dbPassword>{}</dbPassword>", "<cred kind='a'> {} </cred>", 'db_pwd = ("{}")', f'db_pwd{long} = "{{}}"',
+                 'K = "{}"\nurl = f"at {{K}}"\nauth = f"Basic {{K}}"', 'const k = "{}";\nconst auth = `Bearer ${{k}}`;'):
+        assert secret in literals(form.format(secret)), form
+    assert literals('db_pwd = ("q7Rt9!kPz0"\n  "z81Kw0-xYq")') == ["q7Rt9!kPz0", "z81Kw0-xYq"]
+    assert literals('db_pwd = "q7Rt9!kPz0" "z81Kw0-xYq"') == ["q7Rt9!kPz0", "z81Kw0-xYq"]
+    for clean in (f'user, label = "ann", "{secret}"', f"<name>{secret}</name>", f'pwd = ask()\nlabel = "{secret}"', '"""a page of text"""', f'a, pwd = "{secret}", "ann"'):
+        assert literals(clean) == [], clean
+
+
+def test_generated_corpus_against_what_was_planted():
+    rng = random.Random(9)
+    names = {True: ["db_pwd", "apiCred", "clientSecret", "signing_key", "authBearer"], False: ["label", "colour", "city", "note_id"]}
+    for _ in range(300):
+        text, want, held = "", [], {}
+        for k in range(rng.randint(1, 6)):
+            telling = rng.random() < 0.5
+            name = f"{rng.choice(names[telling])}{k}" if rng.random() < 0.5 else f"cfg.{rng.choice(names[telling])}"
+            if held and rng.random() < 0.4:
+                source = rng.choice(sorted(held))
+                text += f"{name} = {source}\n"
+                want += held[source] if telling else []
+                held[name] = held[source]
+            else:
+                value = "".join(rng.choice("Zq8kP2wX7vR4") for _ in range(14))
+                text += rng.choice(["{} = '{}'", 'let {}: string = "{}";', '"{}": "{}",', "{}: {}"]).format(name, value) + "\n"
+                held[name] = [value]
+                want += [value] if telling else []
+        base = [text[a:b] for a, k, b in s.scan(text)[0]]
+        assert {x for x in want if not any(x in y for y in base)} == set(literals(text)), text
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (None, "token=abcdefgh", "b"), (2, "w " * 100_000 + "token=abcdefgh", "c"), (2, "token=abcdefgh", "d"), (2, "token=abcdefgh", "d")], "doc_id long, text string, spans string")
     got = s.find_secrets(docs).collect()
