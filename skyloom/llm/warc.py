@@ -28,6 +28,8 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ RECORDS = "record_id string, record_type string, page_id long, target_uri string
 #: At most so many shards, whose files one driver can list.
 MOST_SHARDS = 100_000
 RECORD_OVERHEAD = 700
+#: Bytes that a reader inflates at a time.
+STEP = 4096
 
 
 def base32_sha1(data: bytes) -> str:
@@ -76,11 +80,11 @@ def info(date: str, name: str) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
-def _ranges(sized: DataFrame, shard_bytes: int) -> list[int]:
-    """The first identifier of each shard after the first, by exact byte sums over equal cuts of the range."""
+def _ranges(sized: DataFrame, shard_bytes: int) -> tuple[list[int], int]:
+    """The first identifier of each shard after the first, by exact byte sums over equal cuts of the range, and the bytes of a shard."""
     low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("weight")).first()
     if low is None:
-        return []
+        return [], shard_bytes
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     found, heavy = [], [(low, high - low + 1)]
     while heavy:
@@ -97,11 +101,15 @@ def _ranges(sized: DataFrame, shard_bytes: int) -> list[int]:
             out.append(at)
             held = 0
         held += w
-    return out
+    return out, shard_bytes
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, date: str = "1970-01-01T00:00:00Z") -> list[str]:
-    """Writes the archive, commits it, and returns the files' paths. folder: any URI that Spark and pyarrow both open."""
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 4 << 20, date: str = "1970-01-01T00:00:00Z") -> list[str]:
+    """Writes the archive, commits it, and returns the files' paths. folder: any URI that Spark and pyarrow both open.
+
+    Shards hold shard_bytes before compression, files roll_bytes after it; both grow alike where there would be
+    more than MOST_SHARDS shards.
+    """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
@@ -110,13 +118,18 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     groups = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     again = groups.where("n > 1").select("digest", "least", "n")
     marks = join_unique(slim.select("id", "digest"), again, "digest", slim.count()).distinct()  # who has equal payloads, and which comes first
-    starts = _ranges(slim, shard_bytes)
-    bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip([None, *starts], [*starts, None], strict=True))], "shard int, a long, z long")
-    within = (F.coalesce("id", F.lit(-(1 << 63))) >= F.coalesce("a", F.lit(-(1 << 63)))) & (F.col("z").isNull() | F.col("id").isNull() | (F.col("id") < F.col("z"))) & (F.col("id").isNotNull() | F.col("a").isNull())
+    starts, held = _ranges(slim, shard_bytes)
+    cuts, roll_bytes = np.array(starts, np.int64), roll_bytes * held // shard_bytes
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
+
     page = rows.select("id", "digest", F.lit(1).alias("mark"), "url", "payload", F.lit(None).cast("long").alias("least"))
     mark = marks.select("id", "digest", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "least")
-    dealt = page.union(mark).join(F.broadcast(bounds), within).select("shard", *page.columns)
-    dealt = dealt.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "id", "digest", "mark", "url")
+    shard = shard_of(F.coalesce("id", F.lit(-(1 << 63)))).alias("shard")  # cuts as a closure: MOST_SHARDS numbers at most
+    dealt = page.select(shard, "*").union(mark.select(shard, "*"))
+    dealt = dealt.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "mark", "url")
     folder = folder.rstrip("/")
     temporary = f"{folder}/_temporary"
     fs, at = hadoop_path(spark, temporary)
@@ -190,12 +203,17 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of a .warc.gz file."""
-    while data:
-        inflate = zlib.decompressobj(31)
-        whole = inflate.decompress(data)
-        if not inflate.eof:
-            raise ValueError("the last record is cut off")
-        data = inflate.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(view):
+                raise ValueError("the last record is cut off")
+            some = view[at : at + STEP]
+            parts.append(inflate.decompress(some))
+            at += len(some)
+        at -= len(inflate.unused_data)
+        whole = b"".join(parts)
         head, _, rest = whole.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
