@@ -90,7 +90,7 @@ def plan_mix(
             F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")).alias("key"),
             source.cast("string").alias("source"),
             word_count(text).alias("size"),
-            F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order"),
+            F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.xxhash64(text).cast("string"))).cast("binary")).alias("order"),
             F.xxhash64(text).alias("tie"),
         ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS)),
         "mix-sizes",
@@ -121,6 +121,15 @@ def plan_mix(
     return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[x.alias(n) for x, n in zip(made, own, strict=True)])
 
 
+def in_order(plan: DataFrame, id_col: str = "doc_id", positions: str = "positions", partitions: int | None = None) -> DataFrame:
+    """plan range-sorted by first position (documents that the mix leaves out last), which is told with the last one: first_position, last_position."""
+    first, last = F.get(F.col(f"`{positions}`"), F.lit(0)), F.try_element_at(F.col(f"`{positions}`"), F.lit(-1))
+    placed = plan.select("*", first.alias("first_position"), last.alias("last_position"))
+    order = [F.col("first_position").asc_nulls_last(), F.col(f"`{id_col}`")]
+    n = partitions or int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def curriculum_mix(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """The documents in training order, each as often as the mix takes it, with the columns of docs."""
     columns = docs.columns

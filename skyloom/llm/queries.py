@@ -11,8 +11,9 @@ from skyloom.llm.common import id_crc, load, new_path
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    plan = mixing.plan_mix(docs)
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    """Per document its size, its source's size and target, the words that the mix takes, and its first and last training position (null where the mix leaves it out)."""
+    placed = mixing.in_order(mixing.plan_mix(docs))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"), F.round("last_position", 9).alias("last_position"))
 
 
 OP9_SQL = r"""
@@ -30,13 +31,16 @@ l AS (SELECT *, (total - 3 * s_below)::DOUBLE / w_above AS level FROM k),
 f AS (SELECT min_by(level, (source_size / weight, source)) AS level FROM l WHERE weight * level < 3 * source_size),
 t AS (SELECT r.*, CASE WHEN weight * f.level >= 3 * source_size THEN (3 * source_size)::DOUBLE ELSE weight * f.level END AS target FROM r, f),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, (t.weight - 2) / 2 AS a,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS middle
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * (passes + (CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END)))::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN passes + (CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END) ELSE 0 END AS copies FROM p),
+y AS (SELECT *, CASE WHEN copies > 0 THEN middle / target END AS y0, CASE WHEN copies > 0 THEN ((copies - 1) * source_size + middle) / target END AS y1 FROM c)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+       round(2 * y0 / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * y0)), 9) AS first_position,
+       round(2 * y1 / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * y1)), 9) AS last_position
+FROM y
 """
 
 
