@@ -312,10 +312,21 @@ def fit_sersic(r: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return float(i_e), float(r_e), float(n), now / max(len(r) - 3, 1)
 
 
+#: Classes by Sérsic index, below each cut.
+SERSIC_CUTS = (0.5, 1.5, 2.5, 5.0)
+
+
 def morphology_class(n: float, ellipticity: float) -> str:
-    if n > 2.5:
-        return "elliptical" if ellipticity < 0.5 else "lenticular"
-    return "disk" if ellipticity < 0.7 else "edge_on_disk"
+    irregular, disk, lenticular, elliptical = SERSIC_CUTS
+    if n < irregular:
+        return "irregular"
+    if n < disk:
+        return "edge-on_disk" if ellipticity > 0.5 else "disk/spiral"
+    if n < lenticular:
+        return "lenticular"
+    if n >= elliptical:
+        return "compact/cD"
+    return "elliptical" if ellipticity < 0.2 else "elliptical_elongated"
 
 
 def sersic_fits(images: DataFrame) -> DataFrame:

@@ -12,26 +12,74 @@ from pyspark.sql import types as T
 
 from skyloom.operators.kernels import run_pipeline
 
-#: The features in their order, with the value that stands for a missing one (0 but where told).
-_SECTIONS = {
-    "sources": "n_sources mean_flux flux_std spatial_concentration ellipticity_mean",
-    "classical": "gabor_score fft_score arc_score n_arcs dominant_frequency dominant_orientation",
-    "morphology": "concentration asymmetry smoothness gini m20 morphology_score",
-    "lens": "lens_score n_arcs n_rings arc_coverage is_candidate",
-    "distribution": "distribution_score voronoi_cv clark_evans_r n_overdensities",
-    "galaxy": "galaxy_score n_tidal n_mergers n_color_outliers",
-    "kinematic": "kinematic_score n_comoving_groups n_streams n_runaways",
-    "transient": "transient_score n_astrometric n_photometric n_parallax",
-    "sersic": "sersic_score sersic_n r_e ellipticity n_residual_features",
-    "wavelet": "wavelet_score n_detections n_multiscale mean_scale",
-    "population": "population_score n_blue_stragglers n_red_giants multiple_populations",
-    "variability": "variability_score n_variables n_periodic n_transients",
-    "temporal": "temporal_score n_new_sources n_disappeared n_brightenings n_moving baseline_days",
-    "anomaly": "anomaly_score",
-    "top": "anomaly_score embedding_anomaly_score composed_score",
-}
-_OTHER = {("distribution", "clark_evans_r"): 1.0, ("top", "embedding_anomaly_score"): 0.5}
-FEATURES: list[tuple[str, str, float]] = [(s, n, _OTHER.get((s, n), 0.0)) for s, names in _SECTIONS.items() for n in names.split()]
+#: The features in their order: section, name, and the value that stands for a missing one.
+FEATURES: list[tuple[str, str, float]] = [
+    ("sources", "n_sources", 0.0),
+    ("sources", "mean_flux", 0.0),
+    ("sources", "flux_std", 0.0),
+    ("sources", "spatial_concentration", 0.0),
+    ("sources", "ellipticity_mean", 0.0),
+    ("classical", "gabor_score", 0.0),
+    ("classical", "fft_score", 0.0),
+    ("classical", "arc_score", 0.0),
+    ("classical", "n_arcs", 0.0),
+    ("classical", "dominant_frequency", 0.0),
+    ("classical", "dominant_orientation", 0.0),
+    ("morphology", "concentration", 0.0),
+    ("morphology", "asymmetry", 0.0),
+    ("morphology", "smoothness", 0.0),
+    ("morphology", "gini", 0.0),
+    ("morphology", "m20", 0.0),
+    ("morphology", "morphology_score", 0.0),
+    ("lens", "lens_score", 0.0),
+    ("lens", "n_arcs", 0.0),
+    ("lens", "n_rings", 0.0),
+    ("lens", "arc_coverage", 0.0),
+    ("lens", "is_candidate", 0.0),
+    ("distribution", "distribution_score", 0.0),
+    ("distribution", "voronoi_cv", 0.0),
+    ("distribution", "clark_evans_r", 1.0),
+    ("distribution", "n_overdensities", 0.0),
+    ("galaxy", "galaxy_score", 0.0),
+    ("galaxy", "n_tidal", 0.0),
+    ("galaxy", "n_mergers", 0.0),
+    ("galaxy", "n_color_outliers", 0.0),
+    ("kinematic", "kinematic_score", 0.0),
+    ("kinematic", "n_comoving_groups", 0.0),
+    ("kinematic", "n_streams", 0.0),
+    ("kinematic", "n_runaways", 0.0),
+    ("transient", "transient_score", 0.0),
+    ("transient", "n_astrometric", 0.0),
+    ("transient", "n_photometric", 0.0),
+    ("transient", "n_parallax", 0.0),
+    ("sersic", "sersic_score", 0.0),
+    ("sersic", "sersic_n", 0.0),
+    ("sersic", "r_e", 0.0),
+    ("sersic", "ellipticity", 0.0),
+    ("sersic", "n_residual_features", 0.0),
+    ("wavelet", "wavelet_score", 0.0),
+    ("wavelet", "n_detections", 0.0),
+    ("wavelet", "n_multiscale", 0.0),
+    ("wavelet", "mean_scale", 0.0),
+    ("population", "population_score", 0.0),
+    ("population", "n_blue_stragglers", 0.0),
+    ("population", "n_red_giants", 0.0),
+    ("population", "multiple_populations", 0.0),
+    ("variability", "variability_score", 0.0),
+    ("variability", "n_variables", 0.0),
+    ("variability", "n_periodic", 0.0),
+    ("variability", "n_transients", 0.0),
+    ("temporal", "temporal_score", 0.0),
+    ("temporal", "n_new_sources", 0.0),
+    ("temporal", "n_disappeared", 0.0),
+    ("temporal", "n_brightenings", 0.0),
+    ("temporal", "n_moving", 0.0),
+    ("temporal", "baseline_days", 0.0),
+    ("anomaly", "anomaly_score", 0.0),
+    ("top", "anomaly_score", 0.0),
+    ("top", "embedding_anomaly_score", 0.5),
+    ("top", "composed_score", 0.0),
+]
 
 
 def feature_vector(df: DataFrame) -> list[Column]:

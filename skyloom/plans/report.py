@@ -7,20 +7,40 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import evaluation
 
-#: Words for scores, strongest first.
-LABELS = ((0.9, "very high"), (0.7, "high"), (0.5, "moderate"), (0.3, "low"), (0.0, "very low"))
+#: The least significance rating (1 to 10) of each word, and the word below all.
+LABELS, LEAST_LABEL = ((8, "High"), (5, "Moderate"), (3, "Low")), "Very Low"
+#: Classes as readers see them.
+DISPLAY = {
+    "gravitational_lens": "Gravitational lens candidate",
+    "morphological_anomaly": "Morphological anomaly",
+    "galaxy_interaction": "Galaxy interaction",
+    "kinematic_group": "Kinematic group",
+    "galaxy_structure": "Galaxy structure anomaly",
+    "multiscale_source": "Multi-scale source",
+    "stellar_population_anomaly": "Stellar population anomaly",
+    "spatial_clustering": "Spatial clustering",
+    "transient_candidate": "Transient candidate",
+    "statistical_outlier": "Statistical outlier",
+    "classical_pattern": "Classical pattern",
+    "variable_star": "Variable star candidate",
+    "temporal_change": "Temporal change",
+}
+
+
+def confidence_label(rating):
+    out = F.lit(LEAST_LABEL)
+    for cut, name in reversed(LABELS):
+        out = F.when(rating >= cut, name).otherwise(out)
+    return out
 
 
-def confidence_label(score):
-    out = F.lit(LABELS[-1][1])
-    for cut, name in reversed(LABELS[:-1]):
-        out = F.when(score >= cut, name).otherwise(out)
-    return out
+def display_name(classification):
+    return F.coalesce(F.try_element_at(evaluation.literal_map(DISPLAY), classification), F.initcap(F.replace(classification, F.lit("_"), F.lit(" "))))
 
 
 def described(findings: DataFrame) -> DataFrame:
     """A sentence for each finding."""
-    return findings.withColumn("description", F.format_string("%s by the %s detector in region %s, score %.2f (%s)", "anomaly_type", "detector", F.col("region_id").cast("string"), "score", confidence_label(F.col("score"))))
+    return findings.withColumn("description", F.format_string("%s by the %s detector in region %s, score %.2f (%s)", "anomaly_type", "detector", F.col("region_id").cast("string"), "score", confidence_label(F.round(F.col("score") * 10))))
 
 
 class Run:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.operators import evaluation, learning, outliers, population
+from skyloom.plans import report
 from skyloom.plans.catalog_queries import binned_sql
 from skyloom.plans.registry import query, shown
 from skyloom.plans.relations import duck, relation
@@ -124,7 +125,7 @@ def ensemble_score(spark, sf_dir):
     return shown(evaluation.ensemble(matrix(spark, sf_dir)), "region_id", "ensemble_score", "n_agreeing")
 
 
-@query("region_classes", f"""{SCORES}, u AS (SELECT region_id, unnest([(lens, -1, 'lens', 'gravitational_lens'), (kinematic, -5, 'kinematic', 'kinematic_group'), (transient, -6, 'transient', 'transient'), (wavelet, -8, 'wavelet', 'multiscale_structure'), (variability, -12, 'variability', 'variable_star')]) AS s FROM w),
+@query("region_classes", f"""{SCORES}, u AS (SELECT region_id, unnest([(lens, -1, 'lens', 'gravitational_lens'), (kinematic, -5, 'kinematic', 'kinematic_group'), (transient, -6, 'transient', 'transient_candidate'), (wavelet, -8, 'wavelet', 'multiscale_source'), (variability, -12, 'variability', 'variable_star')]) AS s FROM w),
 r AS (SELECT region_id, s[1] AS score, s[3] AS dominant, s[4] AS classification, row_number() OVER (PARTITION BY region_id ORDER BY s DESC) AS k FROM u WHERE s[1] > 0)
 SELECT a.region_id, a.dominant, a.classification, round(a.score, 6) AS confidence, coalesce(a.score - b.score < 0.15, false) AS ambiguous, a.region_id % 2 = 0 AND a.score > 0.6 AS novel, CASE WHEN a.score > 0.7 THEN 'strong' WHEN a.score > 0.4 THEN 'moderate' ELSE 'weak' END AS strength
 FROM r a LEFT JOIN r b ON a.region_id = b.region_id AND b.k = 2 WHERE a.k = 1""")
@@ -350,12 +351,27 @@ def genome_distance(spark, sf_dir):
     return shown(genes.crossJoin(F.broadcast(one.limit(1))).select("vec_id", learning.genome_distance(F.col("g"), F.col("o"), [2.0] * 8).alias("d")))
 
 
-@query("follow_ups", f"""{SCORES} SELECT region_id, CASE WHEN lens >= greatest(kinematic, transient) THEN 'lens' WHEN kinematic >= transient THEN 'kinematic' ELSE 'transient' END AS dominant, CASE WHEN transient > greatest(lens, kinematic) OR lens >= greatest(kinematic, transient) OR kinematic >= transient THEN 2 END::BIGINT AS n_steps FROM w""")
+@query("follow_ups", f"""{SCORES}, d AS (SELECT region_id, CASE WHEN lens >= greatest(kinematic, transient) THEN 'lens' WHEN kinematic >= transient THEN 'kinematic' ELSE 'transient' END AS dominant FROM w)
+SELECT region_id, dominant, CASE dominant
+WHEN 'lens' THEN 'High-resolution imaging to resolve arc morphology|Spectroscopy to confirm source/lens redshifts|Multi-band photometry for photometric redshift'
+WHEN 'kinematic' THEN 'Radial velocity measurements to confirm 3D co-motion|Chemical abundance analysis for common origin|Age dating via isochrone fitting'
+ELSE 'Time-series photometry to characterize light curve|Spectroscopic classification of transient type|Multi-wavelength follow-up (radio, X-ray)' END AS steps FROM d""")
 def follow_ups(spark, sf_dir):
     own = matrix(spark, sf_dir)
     top = evaluation.dominant({d: F.col(d) for d in ("lens", "kinematic", "transient")})
     classes = F.create_map(*[F.lit(x) for kv in evaluation.CLASSES.items() for x in kv])
-    return shown(own.withColumn("dominant", top).withColumn("n_steps", F.size(evaluation.follow_ups(classes[F.col("dominant")]))), "region_id", "dominant", "n_steps")
+    return own.withColumn("dominant", top).select("region_id", "dominant", F.array_join(evaluation.follow_ups(classes[F.col("dominant")]), "|").alias("steps"))
+
+
+@query("rationales", f"""{SCORES}, d AS (SELECT region_id, greatest(lens, kinematic, wavelet, transient, variability) AS top, * FROM w),
+c AS (SELECT region_id, top, CASE WHEN top > 0.7 THEN 'strong' WHEN top > 0.4 THEN 'moderate' ELSE 'weak' END AS st, CASE top WHEN lens THEN 1 WHEN kinematic THEN 2 WHEN transient THEN 3 WHEN wavelet THEN 4 ELSE 5 END AS k FROM d WHERE top > 0)
+SELECT region_id, CASE k WHEN 1 THEN printf('Detection dominated by gravitational lens signatures. Lens score %.2f indicates %s arc/ring features.', top, st)
+WHEN 2 THEN printf('Detection dominated by kinematic grouping. Kinematic score %.2f suggests %s co-moving structure.', top, st)
+WHEN 3 THEN printf('Detection dominated by transient/variability signal. Transient score %.2f indicates %s astrometric noise.', top, st)
+WHEN 4 THEN printf('Detection dominated by multi-scale wavelet features. Wavelet score %.2f suggests %s scale-dependent structure.', top, st)
+ELSE printf('Detection dominated by time-domain variability signal. Variability score %.2f indicates %s photometric variability.', top, st) END AS rationale FROM c""")
+def rationales(spark, sf_dir):
+    return evaluation.region_classes(matrix(spark, sf_dir), F.lit(0)).where("dominant is not null").select("region_id", "rationale")
 
 
 @query("sub_detection_counts", f"""{ANOM}, g AS (SELECT region_id, count_if(detector = 'lens') AS l, count_if(detector = 'wavelet' AND score > 0.8) AS w FROM anomalies GROUP BY 1)
@@ -401,3 +417,8 @@ def novelty_mahalanobis(spark, sf_dir):
 @query("normality_tests")
 def normality_tests(spark, sf_dir):
     return shown(evaluation.anderson_darling(relation(spark, sf_dir, "anomalies"), ["region_id"], "score"))
+
+
+@query("rating_labels", f"""{ANOM}, r AS (SELECT seq, 1 + seq % 10 AS rating FROM anomalies) SELECT seq, CASE WHEN rating >= 8 THEN 'High' WHEN rating >= 5 THEN 'Moderate' WHEN rating >= 3 THEN 'Low' ELSE 'Very Low' END AS label FROM r""")
+def rating_labels(spark, sf_dir):
+    return relation(spark, sf_dir, "anomalies").select("seq", report.confidence_label(1 + F.col("seq") % 10).alias("label"))

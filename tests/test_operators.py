@@ -223,7 +223,7 @@ def test_detect_gates_and_reports(spark, tmp_path):
     assert set(detect.survey(t, threshold=0.0).columns) >= {"region_id", "classification", "verdict"}
     findings = spark.createDataFrame([(1, 1, "t", "lens", 0.8, "real", "NEW"), (2, 1, "t", "lens", 0.2, "artifact", "LOW")], "seq int, region_id int, anomaly_type string, detector string, score double, verdict string, category string")
     page = report.markdown(findings)
-    assert "## NEW (1)" in page and "score 0.80 (high)" in page
+    assert "## NEW (1)" in page and "score 0.80 (High)" in page
     run = report.Run(spark, f"file://{tmp_path}/run1")
     run.save("findings", findings)
     assert run.load("findings").count() == 2 and open(run.text("report.md", page).removeprefix("file://")).read() == page
@@ -270,3 +270,29 @@ def test_streams(spark, tmp_path):
     assert sum(r["n"] for r in drain(streams.windowed_brightness, "w", "complete")) == 40
     assert len(drain(lambda p: streams.observing_sessions(p, "6 hours"), "s", "complete")) == 1
     assert [(r["mag"], r["type"]) for r in drain(streams.running_outbursts, "o")] == [(14.0, "brightening")]
+
+
+def test_fixed_tables_hold_a_row_for_each_detector():
+    from skyloom.operators import evaluation
+    from skyloom.plans import report
+
+    assert len(evaluation.CLASSES) == 13 and set(evaluation.RATIONALES) == set(evaluation.CLASSES)
+    assert set(evaluation.FOLLOW_UPS) == set(evaluation.CLASSES.values()) == set(report.DISPLAY)
+    assert all(len(x) == 3 for x in evaluation.FOLLOW_UPS.values())
+
+
+def test_sersic_classes():
+    from skyloom.operators.kernels import morphology_class
+
+    got = [morphology_class(n, e) for n, e in ((0.3, 0.1), (1.0, 0.6), (1.0, 0.5), (2.0, 0.9), (4.0, 0.1), (4.0, 0.2), (5.0, 0.1))]
+    assert got == ["irregular", "edge-on_disk", "disk/spiral", "lenticular", "elliptical", "elliptical_elongated", "compact/cD"]
+
+
+def test_confidence_edges(spark):
+    from skyloom.operators.confidence import confidences
+
+    rows = [("lens", "lens_ring", 0.5, {"completeness": 0.8}), ("lens", "lens_arc", 0.5, {}), ("kinematic", "group", 0.4, {}), ("kinematic", "group", 2.0, {"n_members": 4.0, "expected_field": 0.0}), ("unknown", "x", 0.0, {}), ("unknown", "x", 1.5, None), ("sersic", "x", 0.0, {}), ("population", "blue_straggler", 0.0, {})]
+    df = spark.createDataFrame(rows, "detector string, anomaly_type string, score double, properties map<string,double>")
+    got = [(round(r["p_value"], 6), r["quantity"], r["method"]) for r in confidences(df).collect()]
+    assert got == [(3.2e-05, "completeness", "gaussian_sf"), (0.308538, "SNR", "gaussian_sf"), (0.6, "sigma", "gaussian_sf"), (0.0455, "n_members", "gaussian_sf"), (1.0, "score", "score_proxy"), (0.0, "score", "score_proxy"), (1.0, "score", "chi2_sf"), (1.0, "bs_fraction", "binomial_sf")]
+    assert confidences(df.limit(0)).count() == 0
