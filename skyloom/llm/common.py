@@ -20,9 +20,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of this machine only where the session names none."""
+    """The folder that the driver and all executors see; one of this machine only where the session names none and runs on it alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster's session must name a shared folder in spark.checkpoint.dir")
         folder = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
