@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.sphere import separation
+from skyloom.sources.storage import shared_folder
 
 
 def cells(x: Column, y: Column, size: float) -> list[Column]:
@@ -62,7 +65,7 @@ def kept(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder, so that loops neither recompute nor outgrow their plans."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/skyloom-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -114,15 +117,17 @@ def comoving_groups(catalog: DataFrame, clusters: DataFrame, eps: float, by: str
 
 
 def nearest(points: DataFrame, by: list[str], cell: float, id_col: str = "source_id", rounds: int = 12) -> DataFrame:
-    """Each point's nearest other point of its group: (id, nearest_id, distance).
+    """Each point's nearest other point of its group: (id, nearest_id, distance), for every point of a group of two or more.
 
     Cells double until a neighbour is found within the cell's width, which makes it the nearest; only the
-    points still without one go to the next round.
+    points still without one go to the next round. After the given rounds cells grow sixteenfold, so that
+    far points take few rounds more.
     """
     own = kept(points.select(*by, id_col, "x", "y"))
-    rest, found = own.join(own.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), by), None
-    for k in range(rounds):
-        pairs = distance_join(rest, own, cell * 2**k, by).where(F.col(id_col) != F.col(f"{id_col}_r"))
+    fine = own.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    rest, found = fine.join(fine.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), by), None
+    for k in count():
+        pairs = distance_join(rest, fine, cell * 2.0 ** (k if k < rounds else rounds + 4 * (k - rounds)), by).where(F.col(id_col) != F.col(f"{id_col}_r"))
         best = kept(pairs.groupBy(*by, id_col).agg(F.min(F.struct(F.col("distance"), F.col(f"{id_col}_r").alias("nearest_id"))).alias("m")).select(*by, id_col, "m.nearest_id", "m.distance"))
         found = best if found is None else found.unionByName(best)
         rest = kept(rest.join(best.select(id_col), id_col, "left_anti").select(*by, id_col, "x", "y"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.plans.registry import query, shown
+from skyloom.sources.storage import shared_folder
 from skyloom.streaming import survey
 
 
@@ -21,7 +22,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives until its input ends; offsets, state and result lie in the shared folder."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/skyloom-checkpoints').rstrip('/')}/skyloom-streams/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/skyloom-streams/{uuid.uuid4().hex}"
     put = (lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")) if mode == "complete" else (lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     writer = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()

@@ -296,3 +296,11 @@ def test_confidence_edges(spark):
     got = [(round(r["p_value"], 6), r["quantity"], r["method"]) for r in confidences(df).collect()]
     assert got == [(3.2e-05, "completeness", "gaussian_sf"), (0.308538, "SNR", "gaussian_sf"), (0.6, "sigma", "gaussian_sf"), (0.0455, "n_members", "gaussian_sf"), (1.0, "score", "score_proxy"), (0.0, "score", "score_proxy"), (1.0, "score", "chi2_sf"), (1.0, "bs_fraction", "binomial_sf")]
     assert confidences(df.limit(0)).count() == 0
+
+
+def test_nearest_finds_far_points(spark):
+    from skyloom.operators.spatial import nearest
+
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 3.0, 4.0), (1, 3, 1e6, 1e6), (2, 4, 0.0, 0.0), (1, 5, float("nan"), 0.0)]
+    got = nearest(spark.createDataFrame(rows, "region_id int, source_id int, x double, y double"), ["region_id"], 1.0, rounds=3)
+    assert sorted((r["source_id"], r["nearest_id"], round(r["distance"])) for r in got.collect()) == [(1, 2, 5), (2, 1, 5), (3, 2, 1414209)]
