@@ -1,7 +1,8 @@
 """Exact top-k search by integer inner product over a bit-sliced index.
 
-Components become floor(scale * x). Rows are dealt into tiles, the queries likewise, and every tile of
-rows meets every tile of queries once. In a tile, an attribute is a stack of bitmaps, one bitmap of all
+Components become floor(scale * x). Rows are dealt into tiles of bounded bytes, the queries likewise, and every
+tile of rows meets every tile of queries once: a tile's index is built once for each group of queries (one group
+where there are tiles enough), and queries stream past it. In a tile, an attribute is a stack of bitmaps, one bitmap of all
 rows for each binary digit of (value - smallest value). A query adds, for each set digit of each of its
 coefficients, the attribute's slices at that shift, with full adders over whole bitmaps; a negative
 coefficient adds the complemented slices, and a constant sets that right. The sum is again a stack of
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.vectors import meet, tiles
 
 SCHEMA = "query_id long, vec_id long, score long"
+#: The greatest size of a scaled component, and the bytes of a tile.
+LARGEST, TILE_BYTES = 1 << 26, 32 << 20
 
 
 class Slices:
@@ -106,13 +109,19 @@ class Slices:
 
 
 def search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Streams of meet: what each tile's best rows for each query are."""
+    now, tile = None, None
     for batch in batches:
-        for row in batch.to_pylist():
-            dim = row["dim"]
-            tile = Slices(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["data"], "<i8").reshape(-1, dim))
+        for i in range(batch.num_rows):
+            part, turn, dim, asks = (batch.column(j)[i].as_py() for j in range(4))
+            ids, data = np.frombuffer(batch.column(4)[i].as_buffer(), "<i8"), np.frombuffer(batch.column(5)[i].as_buffer(), "<i8").reshape(-1, dim)
+            if not asks:
+                now, tile = (part, turn, dim), Slices(ids.copy(), data.copy())
+                continue
+            if now != (part, turn, dim):
+                continue  # no rows of that many components in the tile
             out: list[tuple] = []
-            queries = np.frombuffer(row["q_data"], "<i8").reshape(-1, dim)
-            for query_id, query in zip(np.frombuffer(row["q_ids"], "<i8").tolist(), queries, strict=True):
+            for query_id, query in zip(ids.tolist(), data, strict=True):
                 at = tile.best(query_id, query, k)
                 out += zip([query_id] * len(at), tile.ids[at].tolist(), (tile.data[at] @ query).tolist(), strict=True)
             if out:
@@ -128,11 +137,14 @@ def top_inner_products(
     A tile of queries holds 1/64 of them, at least 64 and at most tile_rows, whatever their number is.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n, asks = rows.agg(F.count("*"), F.count_if("asks")).first()
+    n, asks, dim = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("vec"))).first()
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile_rows = max(64, min(tile_rows, TILE_BYTES // (8 * max(1, dim or 1))))
     parts, per = max(1, -(-n // tile_rows)), min(tile_rows, max(64, -(-asks // 64)))
     q_parts = max(1, -(-asks // per))
+    groups = max(1, min(q_parts, -(-partitions // parts)))  # more than one only where tiles are too few for all tasks
     queries = rows.where("asks and id is not null and vec is not null").groupBy("id").agg(F.min("vec").alias("vec"))
-    floor = lambda x: np.floor(scale * x)
-    found = meet(tiles(rows, parts, floor, "<i8"), parts, tiles(queries, q_parts, floor, "<i8"), q_parts).mapInArrow(lambda x: search(x, k), SCHEMA)
+    floor = lambda x: np.clip(np.floor(scale * x), -LARGEST, LARGEST)
+    found = meet(tiles(rows, parts, floor, "<i8"), parts, tiles(queries, q_parts, floor, "<i8"), groups, max(partitions, parts)).mapInArrow(lambda x: search(x, k), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,11 +57,15 @@ def tiles(df: DataFrame, parts: int, keep: Callable[[np.ndarray], np.ndarray], k
     return df.select("id", "vec").repartition(parts).mapInArrow(pack, TILE_SCHEMA)
 
 
-def meet(rows: DataFrame, n_rows: int, queries: DataFrame, n_queries: int) -> DataFrame:
-    """Every tile of rows beside every tile of queries: (ids, data, q_ids, q_data, dim).
+def meet(rows: DataFrame, n_rows: int, queries: DataFrame, groups: int, partitions: int) -> DataFrame:
+    """A stream for each tile of rows and group of queries: the tile (asks 0), then the group's tiles of queries (asks 1).
 
-    Both sides carry the pair of tile numbers as an ordinary join key, so pairs spread evenly over tasks.
+    A tile of rows is copied once for each group, a tile of queries to every tile of rows; streams are sorted within
+    their partitions, so a task holds one tile of each side at a time, however many queries there are.
     """
-    left = rows.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = queries.select(F.col("part").alias("q_part"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    return left.join(right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))), ["part", "q_part", "dim"]).select("dim", "ids", "data", "q_ids", "q_data")
+    left = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("turn"), F.lit(0).alias("asks"))
+    dealt = queries.select(F.pmod("part", F.lit(groups)).alias("turn"), "dim", "ids", "data")
+    right = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("part"), F.lit(1).alias("asks"))
+    keys = ["part", "turn", "dim"]
+    return left.unionByName(right).repartition(partitions, *keys).sortWithinPartitions(*keys, "asks").select(*keys, "asks", "ids", "data")
+

@@ -93,3 +93,9 @@ def test_graph_search_finds_near_centres():
     exact = np.argsort(((x[:, None] - model.centres[None]) ** 2).sum(axis=2), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(e)) for a, e in zip(at, exact, strict=True)]) > 9.3
     assert (np.diff(d, axis=1) >= -1e-6).all() and len(model.centres) > 500
+
+
+def test_topk_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [-1e30, 2.0]), (2, [3.0, 1.0])]
+    got = listed(topk.top_inner_products(frame(spark, rows), asks(), k=2))
+    assert got == [(0, 1, 2, topk.LARGEST * 3072 + 1024 * 1024), (0, 2, 1, -topk.LARGEST * topk.LARGEST + 1024 * 2048)]
