@@ -8,8 +8,10 @@ near neighbours; a query reads the lists whose centroids are within a ratio of i
 Distances are then exact, on the original vectors, in double precision.
 
 Of equal vectors only the k + 1 smallest ids can be among the nearest k of anything, so the others
-are left out before vectors move. Lists are split by a hash of the id where they are long, and a
-query goes to every part, so no task holds more than about PART_ROWS vectors of a list.
+are left out before vectors move. Lists are split by a hash of the id where they are long, and so are the queries
+that read a list where they are many: every part of a list meets every share of its queries, and no task
+holds more than about PART_ROWS vectors and ASKS queries of a list. Queries whose lists hold fewer than k rows, though
+there are more, read all lists.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components, and
 rows with a null id, take no part; vectors meet those with as many components only (a number of
@@ -35,12 +37,12 @@ from skyloom.llm.vectors import rows_by_dim
 SAMPLE_ROWS, SAMPLE_BYTES, LISTS = 20_000, 64 << 20, 4_096
 #: Rows of the table for each list, while there are fewer lists than LISTS.
 LIST_ROWS = 128
-NEIGHBOURS, FAR, PART_ROWS = 12, 4, 8_192
+NEIGHBOURS, FAR, PART_ROWS, ASKS = 12, 4, 8_192, 16_384
 #: Of a vector: lists at most, how much further than the nearest their centroids may be, and how close, against
 #: that distance, centroids of two of its lists may not be.
 COPIES, NEAR, APART = 6, 0.15, 0.25
-#: Of a query: breadth of the beam, and so lists at most, and the same ratio.
-BEAM, READ = 96, 0.3
+#: Of a query: the least breadth of the beam, and so lists at most, its share of all lists, and the same ratio.
+BEAM, BEAM_SHARE, READ = 96, 1 / 16, 0.3
 
 
 @dataclass
@@ -186,11 +188,28 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
         lists = min(LISTS, max(1, n // LIST_ROWS))
         models[d] = Centroids.fit(np.array(own), max(1, lists * len(own) // max(1, sum(map(len, sample.values())))), sum(len(m.centres) for m in models.values()))
     postings = materialize(_deal(held, models, 4 * COPIES, COPIES, NEAR, True), "ann-postings")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    parts = materialize(postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "ann-parts")
     queries = rows.where("asks").groupBy("id").agg(F.min("vec").alias("vec"))
-    asks = _deal(queries, models, beam, beam, ratio, False).join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    by = ["list", "part"]
-    found = dealt.select(*by, "id", "data").groupBy(*by).cogroup(asks.select(*by, "id", "data").groupBy(*by)).applyInArrow(lambda a, b: _nearest_in_part(a, b, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(asks: DataFrame) -> DataFrame:
+        """The k nearest rows of each query in the lists that asks (list, id, data) deals it to."""
+        shares = asks.groupBy("list").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("shares"))
+        both = parts.join(shares, "list")
+        to_parts = asks.join(both, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        to_shares = postings.join(both, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        by = ["list", "part", "share"]
+        found = to_shares.select(*by, "id", "data").groupBy(*by).cogroup(to_parts.select(*by, "id", "data").groupBy(*by)).applyInArrow(lambda a, b: _nearest_in_part(a, b, k), "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    lists = sum(len(m.centres) for m in models.values())
+    beam = max(beam, int(lists * BEAM_SHARE))
+    near = materialize(search(materialize(_deal(queries, models, beam, beam, ratio, False), "ann-asks")), "ann-found")
+    got = near.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("got"))
+    there = held.groupBy(F.size("vec").alias("dim")).agg((F.count("*") - 1).alias("there"))  # a row for each number of components
+    short = queries.withColumn("dim", F.size("vec")).join(there, "dim").join(got, "id", "left").where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "there")).select("id", "vec")
+    short = materialize(short, "ann-short")
+    if not short.limit(1).count():
+        return near
+    more = search(materialize(_deal(short, models, lists + 1, lists + 1, float("inf"), False), "ann-asks"))
+    return near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)

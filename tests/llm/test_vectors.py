@@ -99,3 +99,14 @@ def test_topk_huge_components(spark):
     rows = [(0, [1e30, 1.0]), (1, [-1e30, 2.0]), (2, [3.0, 1.0])]
     got = listed(topk.top_inner_products(frame(spark, rows), asks(), k=2))
     assert got == [(0, 1, 2, topk.LARGEST * 3072 + 1024 * 1024), (0, 2, 1, -topk.LARGEST * topk.LARGEST + 1024 * 2048)]
+
+
+def test_few_rows_near_still_give_k(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.01, 4) + (1000 * (i % 40), 1, 0, 0)]) for i in range(1, 2000)] + [(100_000, [9e6, 1.0, 0.0, 0.0])]
+    df = frame(spark, rows)
+    got = listed(ann.nearest_neighbours(df, asks(), k=60, beam=1, ratio=0.0))
+    by = {}
+    for q, *_ in got:
+        by[q] = by.get(q, 0) + 1
+    assert set(by.values()) == {60} and len(by) == len({i for i, _ in rows if i % 100 == 0})
