@@ -45,6 +45,7 @@ FROM y
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query vector its ten rows of highest integer inner product, by the bit-sliced index."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_inner_products(vectors, F.pmod("vec_id", F.lit(100)) == 0)
 
@@ -68,22 +69,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document where it stands in the packed sequences; null texts are the end id alone."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack_documents(docs, tokenizer_path())
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint and the least identifier of its component; null and blank texts have fingerprint zero."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the counts and the digest of base spans, and all spans; a null text is empty."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page what its record says once the archive is written and read back; a null payload is empty."""
     pages, folder = load(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc")
     warc.write_warc(pages, folder)
     return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -106,12 +111,14 @@ FROM b
 """
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the predicted language and its score; null texts and texts without letters are und."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its quality score and class; empty and null texts are scored too."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
     model = quality.learn(docs, load(spark, sf_dir, "labels").select("doc_id", "quality"), ~held)
@@ -119,11 +126,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query vector its ten nearest rows found, by posting lists; null, zero and non-finite vectors take no part."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest_neighbours(vectors, F.pmod("vec_id", F.lit(100)) == 0)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how many lines it has and which go, as they repeat or nearly repeat others; null texts have none."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.line_report(docs, **lines.WHOLE)
 
