@@ -41,10 +41,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most CHARS characters, or of one longer text."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHARS, side="right")))
+        yield low, high
+        low = high
+
+
+def code_points(lines: list[str]) -> np.ndarray:
+    """The characters of all lines, counted from 1."""
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Two words of bits for each line (none of them empty): whether it holds an odd number of the pairs of neighbouring characters that hash to that bit.
+
+    One edit changes four pairs at most (a substitution takes two and adds two), so lines at so many
+    edits differ in four times as many bits at most.
+    """
+    points = code_points(lines)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    bit = mixed(points[:-1] * np.uint64(BASE) + points[1:]) >> np.uint64(57)
+    flags = np.zeros((2, len(points)), np.uint64)
+    flags[0, :-1] = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+    flags[1, :-1] = np.where(bit >= 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+    ends = np.cumsum(size)
+    flags[:, ends - 1] = 0  # the last character of a line has no neighbour in it
+    return np.bitwise_xor.reduceat(flags, ends - size, axis=1).view(np.int64)
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """lines (h, line) with n, the line's length, and s and t, the two words of its signature."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for low, high in slices(texts):
+                s, t = signatures(texts[low:high])
+                size = pa.array(list(map(len, texts[low:high])), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], size, pa.array(s), pa.array(t)], names=["h", "line", "n", "s", "t"])
+
+    return lines.select("h", "line").mapInArrow(sign, "h long, line string, n int, s long, t long")
+
+
+def alike(edits: int, s: str = "s", t: str = "t", of_s: str = "of_s", of_t: str = "of_t"):
+    """Whether the signatures (s, t) and (of_s, of_t) allow so many edits; true for all lines that are within them."""
+    return F.bit_count(F.col(s).bitwiseXOR(F.col(of_s))) + F.bit_count(F.col(t).bitwiseXOR(F.col(of_t))) <= 4 * edits
+
+
 def entries(lines: list[str], hashes: np.ndarray, shapes: list[tuple[int, int, int]], edits: int) -> np.ndarray:
     """All keys of lines as ENTRY rows."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    points = code_points(lines)
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(points * powers(BASE, len(points))[: len(points)], out=total[1:])
     back, at = powers(INVERSE, len(points) + 1), np.cumsum(size) - size
@@ -114,10 +165,7 @@ def candidates(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int,
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, hashes = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            low = 0
-            while low < len(texts):
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHARS, side="right")))
+            for low, high in slices(texts):
                 own = entries(texts[low:high], hashes[low:high], shapes, edits)
                 at = (own["key"] % np.uint64(parts * SUBS)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
@@ -125,7 +173,6 @@ def candidates(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int,
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 data = [own[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array((at[first] % parts).astype(np.int32)), pa.array((at[first] // parts).astype(np.int32)), pa.array(data, pa.binary())], names=["part", "sub", "data"])
-                low = high
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

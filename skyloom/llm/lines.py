@@ -4,7 +4,8 @@ Lines are compared trimmed and in lower case; two are linked at so many edits or
 lines form classes. A line of length l is split into edits + 1 segments; a line within the edits holds one
 of them whole, near where it stood. So every distinct line gives its own segments as index keys and, for
 each length from its own down to edits less, those of its substrings that could be such a segment as
-probe keys. Lines that share a key are candidates (module line_keys, in Arrow batches), verified by a banded
+probe keys. Lines that share a key are candidates (module line_keys, in Arrow batches). Signatures of pairs of
+neighbouring characters tell most far candidates apart; the rest is verified by a banded
 bit-parallel edit distance as column expressions. All else is DataFrame operations.
 
 A key with more than hot_key lines would give many pairs. At more than one edit its lines are compared
@@ -107,6 +108,30 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(let(let(F.struct(chars(a).alias("p"), chars(b).alias("t")), middle), run))
 
 
+def without_ends(a: Column, b: Column, halvings: int = 7) -> Column:
+    """Struct (p, t, n): a and b without most of what both begin and both end with, which changes no distance between them.
+
+    Ends of half the shorter length, a quarter and so on go where they are equal.
+    """
+    sized = lambda p, t: F.struct(p.alias("p"), t.alias("t"), F.least(F.length(p), F.length(t)).alias("n"))
+
+    def shorten(k: int, end, rest):
+        def cut(c: Column) -> Column:
+            size = F.shiftright(c["n"], k)
+            shorter = F.struct(*[rest(c[x], size).alias(x) for x in "pt"], c["n"].alias("n"))
+            return F.when(end(c["p"], size) == end(c["t"], size), shorter).otherwise(c)
+
+        return cut
+
+    out = sized(a, b)
+    for k in range(1, halvings + 1):
+        out = let(out, shorten(k, F.left, lambda x, size: F.substr(x, size + 1)))
+    out = let(out, lambda c: sized(c["p"], c["t"]))
+    for k in range(1, halvings + 1):
+        out = let(out, shorten(k, F.right, lambda x, size: F.left(x, F.length(x) - size)))
+    return out
+
+
 def segment(length: Column, i: Column | int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment i (from 0) of a line: equal sizes, the last ones longer by one."""
     i = F.lit(i) if isinstance(i, int) else i
@@ -176,15 +201,17 @@ def _met(keyed: DataFrame, edits: int) -> DataFrame:
 
 
 def _pairs(few: DataFrame, edits: int) -> DataFrame:
-    left = few.where(F.col("j") <= edits).select("key", F.col("h").alias("a"))
-    right = few.select("key", F.col("h").alias("b"), (F.col("j") <= edits).alias("own"))
-    return left.join(right, "key").where("a <> b and (not own or a < b)").select("a", "b").distinct()
+    left = few.where(F.col("j") <= edits).select("key", "s", "t", F.col("h").alias("a"))
+    right = few.select("key", F.col("h").alias("b"), (F.col("j") <= edits).alias("own"), F.col("s").alias("of_s"), F.col("t").alias("of_t"))
+    return left.join(right, "key").where("a <> b and (not own or a < b)").where(line_keys.alike(edits)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    near = F.levenshtein("x", "y", edits) >= 0  # the same bound in compiled code, which spares far pairs the columns below
+    pairs = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("x"), "s", "t"), "a")
+    pairs = pairs.join(known.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("s").alias("of_s"), F.col("t").alias("of_t")), "b").where(line_keys.alike(edits))
+    # the same bound in compiled code, which spares far pairs the columns below; its time grows with the square of the length
+    near = let(without_ends(F.col("x"), F.col("y")), lambda c: F.levenshtein(c["p"], c["t"], edits)) >= 0
     pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= edits).where(near).repartition(parts, "a", "b")
     return pairs.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
@@ -201,26 +228,29 @@ def _cut(rest: Column, j: Column, edits: int) -> Column:
 
 
 def _hot_components(hot: DataFrame, known: DataFrame, edges: DataFrame, edits: int, hot_key: int) -> DataFrame:
-    """hot (key, j, h), edges among all lines: the edges, and more, that connect whatever hot's close pairs connect."""
+    """hot (key, j, h), edges among all lines: edges that connect what the given ones and hot's close pairs connect.
+
+    Each turn goes on from a link to the root for every node, instead of all edges found before.
+    """
     less = F.get(shape_rows(edits), F.col("j").cast("int"))["less"]
-    hot = materialize(hot.select("key", "j", "h").join(known.select("h", F.col("line").alias("rest")), "h"), "line-hot")
+    hot = materialize(hot.select("key", "j", "h").join(known.select("h", F.col("line").alias("rest"), "s", "t"), "h"), "line-hot")
     for again in range(AGAIN + 1):
         least = hot.where(F.col("j") <= edits).groupBy("key").agg(F.min("h").alias("b"))
         star = hot.join(least, "key").where("h <> b").select(F.col("h").alias("a"), "b").distinct()
-        edges = materialize(edges.union(_verified(star, known, edits)), "line-edges")
-        roots = materialize(components(edges), "line-roots")
+        roots = materialize(components(edges.union(_verified(star, known, edits))), "line-roots")
+        edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         named = hot.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
         open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         named = materialize(named.join(open_, "key"), "line-open")
         if not named.limit(1).count():
             return edges
         if again == AGAIN:
-            left = named.where(F.col("j") <= edits).select("key", F.col("h").alias("a"), F.col("root").alias("of_a"))
-            right = named.select("key", F.col("h").alias("b"), F.col("root").alias("of_b"))
-            return edges.union(_verified(left.join(right, "key").where("of_a <> of_b").select("a", "b").distinct(), known, edits))
-        part = named.select("key", "h", less.alias("by"), (F.col("j") <= edits).alias("own"), _cut(F.col("rest"), F.col("j").cast("int"), edits).alias("rest"))
+            left = named.where(F.col("j") <= edits).select("key", "s", "t", F.col("h").alias("a"), F.col("root").alias("of_a"))
+            right = named.select("key", F.col("h").alias("b"), F.col("root").alias("of_b"), F.col("s").alias("of_s"), F.col("t").alias("of_t"))
+            return edges.union(_verified(left.join(right, "key").where("of_a <> of_b").where(line_keys.alike(edits)).select("a", "b").distinct(), known, edits))
+        part = named.select("key", "h", "s", "t", less.alias("by"), (F.col("j") <= edits).alias("own"), _cut(F.col("rest"), F.col("j").cast("int"), edits).alias("rest"))
         finer = _keyed(part.withColumnRenamed("key", "of"), "rest", edits, "of").drop("of")
-        finer = finer.where((less == F.col("by")) | (F.col("own") & (F.col("j") <= edits))).select("h", "rest", "key", "j")
+        finer = finer.where((less == F.col("by")) | (F.col("own") & (F.col("j") <= edits))).select("h", "rest", "s", "t", "key", "j")
         finer = materialize(_met(finer, edits), "line-finer")
         edges = edges.union(_verified(_pairs(finer.where(F.col("all") <= hot_key), edits), known, edits))
         hot = finer.where(F.col("all") > hot_key).drop("all")
@@ -234,7 +264,7 @@ def line_links(lines: DataFrame, edits: int, hot_key: int) -> DataFrame:
     slot = F.pmod("h", F.lit(SIEVE))
     sieve = need.select(slot.alias("slot")).distinct()  # SIEVE rows at most, whatever the data are
     likely = lines.select("h", "line").join(F.broadcast(sieve), slot == F.col("slot"), "left_semi")
-    known = materialize(likely.join(need, "h").dropDuplicates(["h"]).select("h", F.length("line").alias("n"), "line"), "line-texts")
+    known = materialize(line_keys.signed(likely.join(need, "h").dropDuplicates(["h"])), "line-texts")
     links = _verified(line_keys.pairs(found), known, edits)
     hot = line_keys.hot_lines(found)
     if edits != 1:

@@ -38,3 +38,23 @@ def test_candidates_are_those_of_substrings(spark):
     streamed = line_keys.candidates(df.repartition(1), lines.key_shapes(3), 3, 5, 20)
     assert {(name[r["h"]], r["j"]) for r in line_keys.hot_lines(streamed).collect()} >= by_hand(texts, 3, 5)[1]
     assert line_keys.candidates(df.limit(0), lines.key_shapes(3), 3, 5).count() == 0
+
+
+def test_signatures_and_ends_keep_all_close_pairs(spark):
+    draw = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = "".join(draw.choice("abcé 𝒳") for _ in range(draw.randint(24, 300)))
+        b = list(a)
+        for _ in range(draw.randint(0, 3)):
+            at, kind = draw.randrange(len(b)), draw.randrange(3)
+            b[at : at + (kind < 2)] = [] if kind == 0 else [draw.choice("abx")]
+        pairs.append((a, "".join(b)))
+    left, right = (line_keys.signatures([x[i] for x in pairs]).view("<u8") for i in (0, 1))
+    differ = [sum(int(x).bit_count() for x in left[:, i] ^ right[:, i]) for i in range(len(pairs))]
+    assert max(differ) <= 12
+    alone = [line_keys.signatures([a]).view("<u8")[:, 0].tolist() for a, _ in pairs[:20]]
+    assert alone == left.T[:20].tolist()
+    df = spark.createDataFrame([*pairs, ("aaaa", "aa"), ("abab", "ab"), ("x", "x"), ("", "b")], "x string, y string")
+    ends = lines.let(lines.without_ends(F.col("x"), F.col("y")), lambda c: F.levenshtein(c["p"], c["t"]))
+    assert df.where(ends != F.levenshtein("x", "y")).count() == 0
