@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, langid, lines, mixing, packing, quality, secret_scan, simhash, topk, warc
-from skyloom.llm.common import id_crc, load, new_path
+from skyloom.llm import ann, langid, lines, mixing, packing, quality, runs, secret_scan, simhash, topk, warc
+from skyloom.llm.common import WORD, id_crc, load, new_path, word_count
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,5 +137,30 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(docs, **lines.WHOLE)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the runs of its words, some of them made periodic as the contract says, and digests of the runs and of the text without repetitions.
+
+    A null text has no words; a null doc_id has no check sum, so its text stays as it is.
+    """
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    h = id_crc(F.col("doc_id"))
+    n, g = word_count(F.col("text")), F.floor(h / 10)
+    chosen = docs.withColumns({"n": F.when((h % 10 == 0) & (n > 0), n), "g": g}).withColumn("a", F.col("g") % F.col("n"))
+    chosen = chosen.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).withColumn("words", F.when(F.col("n").isNotNull(), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))))
+    a, p, rest = (F.col(x).cast("int") for x in ("a", "p", "n"))
+    unit = F.slice("words", a + 1, F.least(p, rest - a))
+    periodic = F.concat(F.slice("words", F.lit(1), a), F.slice(F.flatten(F.array_repeat(unit, (F.ceil((rest - a) / p)).cast("int"))), F.lit(1), rest - a))
+    texts = chosen.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.find_runs(texts)
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n"))))
+    out = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op13_runs": op13_runs}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
