@@ -62,6 +62,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like materialize, and gives the folder too, for discard. Shuffle files of the write go with it, so that stages don't add up on disk."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later stage reads."""
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 #: A key is hot if it has at least 1 / HOT of all rows; so there are at most HOT hot keys.
 HOT = 1000
 

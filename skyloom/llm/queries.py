@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, langid, lines, mixing, packing, quality, runs, secret_scan, simhash, topk, warc
+from skyloom.llm import ann, katz, langid, lines, mixing, packing, quality, runs, secret_scan, simhash, topk, warc
 from skyloom.llm.common import WORD, id_crc, load, new_path, word_count
 
 
@@ -137,6 +137,13 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(docs, **lines.WHOLE)
 
 
+def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how many tokens it has, how many of them training texts have, its base score and its score by the backoff model; a null text is empty, a null doc_id is trained on."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(7)) == 2, F.lit(False))
+    return katz.score_texts(docs, ~held).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the runs of its words, some of them made periodic as the contract says, and digests of the runs and of the text without repetitions.
 
@@ -162,5 +169,5 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op13_runs": op13_runs}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op11_backoff": op11_backoff, "op13_runs": op13_runs}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
