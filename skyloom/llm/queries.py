@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, katz, langid, lines, mixing, packing, quality, runs, secret_scan, simhash, topk, warc
+from skyloom.llm import ann, katz, langid, lines, mixing, packing, quality, runs, secret_scan, simhash, topk, turns, warc
 from skyloom.llm.common import WORD, id_crc, load, new_path, word_count
 
 
@@ -144,6 +144,22 @@ def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(docs, ~held).select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation what damage did to it and the cheapest repair; nulls in rows are one blank, a conversation without rows has zeros, an empty audit and the hash of an empty string."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    damaged = rows.withColumn("h", h).where("h <> 0").select(
+        "conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(one("role")).alias("role"),
+        F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace(one("text"), "[.!?]", "")).otherwise(one("text")).alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("h") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    report, repaired = turns.repair(damaged.drop("copy"))
+    key = lambda df: df.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    out = key(rows.select("conv_id").distinct()).join(key(report).drop("conv_id"), "k", "left").join(key(turns.digests(repaired)).drop("conv_id"), "k", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the runs of its words, some of them made periodic as the contract says, and digests of the runs and of the text without repetitions.
 
@@ -169,5 +185,5 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op11_backoff": op11_backoff, "op13_runs": op13_runs}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_language": op3_language, "op4_quality": op4_quality, "op5_secrets": op5_secrets, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_mixing": op9_mixing, "op10_topk": op10_topk, "op11_backoff": op11_backoff, "op12_repair": op12_repair, "op13_runs": op13_runs}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op9_mixing": OP9_SQL, "op10_topk": OP10_SQL}
