@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from skyloom.llm.common import discard, fresh, stage
 
 #: Tokens of a block, questions of a part of the table, and the count from which a history is split over parts.
-BLOCK, PART = 700_000, 1_000_000
+BLOCK, PART = 300_000, 300_000
 HOT = PART // 2
 #: Counts up to this one are discounted.
 K = 5
