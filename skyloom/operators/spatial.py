@@ -154,12 +154,16 @@ def pair_counts(points: DataFrame, edges: list[float], by: list[str], id_col: st
     return pairs.where((F.col("distance") >= edges[0]) & (F.col("distance") < edges[-1])).groupBy(*by, at.cast("int").alias("bin")).agg(F.count("*").alias("n_pairs"))
 
 
-def landy_szalay(points: DataFrame, edges: list[float], by: list[str], seed: int = 42, id_col: str = "source_id") -> DataFrame:
-    """Two-point correlation (DD - 2 DR + RR) / RR of each bin, with twice as many uniform points in the box of each group."""
+#: Steps of the even spread of positions that stands for a random field: inverse powers of the plastic number, by axis.
+SPREAD = (0.7548776662466927, 0.5698402909980532)
+
+
+def landy_szalay(points: DataFrame, edges: list[float], by: list[str], id_col: str = "source_id") -> DataFrame:
+    """Two-point correlation (DD - 2 DR + RR) / RR of each bin, with twice as many positions spread evenly over the box of each group."""
     box = points.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("lo_", F.min), ("hi_", F.max))])
     random = box.withColumn(id_col, F.explode(F.sequence(F.lit(1).cast("long"), 2 * F.col("n"))))
-    unit = lambda salt: F.pmod(F.xxhash64(*by, id_col, F.lit(seed + salt)), F.lit(1 << 53)) / float(1 << 53)  # noqa: E731  a hash, so that reruns agree
-    random = random.select(*by, id_col, *[(F.col(f"lo_{c}") + unit(k) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(c) for k, c in enumerate("xy")])
+    unit = lambda step: F.col(id_col) * step - F.floor(F.col(id_col) * step)
+    random = random.select(*by, id_col, *[(F.col(f"lo_{c}") + unit(SPREAD[k]) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(c) for k, c in enumerate("xy")])
     parts = [pair_counts(points, edges, by).withColumnRenamed("n_pairs", "dd"), pair_counts(random, edges, by).withColumnRenamed("n_pairs", "rr"), pair_counts(points, edges, by, other=random).withColumnRenamed("n_pairs", "dr")]
     out = parts[1].join(parts[0], [*by, "bin"], "left").join(parts[2], [*by, "bin"], "left").na.fill(0, ["dd", "dr"]).join(box.select(*by, "n"), by)
     n, m = F.col("n"), 2 * F.col("n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluation, images, kernels, models, spatial
+from skyloom.operators import evaluation, images, kernels, models, spatial, tessellation
 from skyloom.plans.catalog_queries import sep_sql
 from skyloom.plans.registry import query, shown
 from skyloom.plans.relations import duck, relation
@@ -37,11 +37,48 @@ def pair_counts(spark, sf_dir):
     return shown(spatial.pair_counts(relation(spark, sf_dir, "companions"), [0.0, 20.0, 40.0, 80.0], ["region_id"]))
 
 
-@query("landy_szalay")
+BIN = "(CASE WHEN d >= 40 THEN 2 WHEN d >= 20 THEN 1 ELSE 0 END)"
+CORRELATION = f"""bx AS (SELECT region_id, count(*) AS n, min(x) AS x0, max(x) - min(x) AS w, min(y) AS y0, max(y) - min(y) AS h FROM companions GROUP BY 1),
+rn AS (SELECT region_id, k, x0 + (k * 0.7548776662466927e0 - floor(k * 0.7548776662466927e0)) * w AS x, y0 + (k * 0.5698402909980532e0 - floor(k * 0.5698402909980532e0)) * h AS y FROM bx, LATERAL (SELECT unnest(range(1, 2 * n + 1)) AS k)),
+dd AS (SELECT region_id, {BIN} AS bin, count(*) AS dd FROM p WHERE a < b AND d < 80 GROUP BY 1, 2),
+rr AS (SELECT region_id, {BIN} AS bin, count(*) AS rr FROM (SELECT a.region_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM rn a JOIN rn b ON a.region_id = b.region_id AND a.k < b.k) WHERE d < 80 GROUP BY 1, 2),
+dr AS (SELECT region_id, {BIN} AS bin, count(*) AS dr FROM (SELECT a.region_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM companions a JOIN rn b ON a.region_id = b.region_id) WHERE d < 80 GROUP BY 1, 2),
+ls AS (SELECT region_id, bin, coalesce(dd, 0) AS dd, rr, coalesce(dr, 0) AS dr, (coalesce(dd, 0) / nullif(n * (n - 1) / 2, 0) - 2 * coalesce(dr, 0) / (2 * n * n) + rr / (n * (2 * n - 1))) / (rr / (n * (2 * n - 1))) AS xi FROM rr LEFT JOIN dd USING (region_id, bin) LEFT JOIN dr USING (region_id, bin) JOIN bx USING (region_id))"""
+
+
+@query("landy_szalay", f"""{COMP}, {PAIRS}, {CORRELATION} SELECT region_id, bin::BIGINT AS bin, dd, rr, dr, round(xi, 6) AS xi FROM ls""")
 def landy_szalay(spark, sf_dir):
     return shown(spatial.landy_szalay(relation(spark, sf_dir, "companions"), [0.0, 20.0, 40.0, 80.0], ["region_id"]))
 
 
+#: Every corner of a cell is where two lines meet that no third one cuts off: the lines halfway to other points, and the rectangle's sides.
+VORONOI = """fv AS (SELECT * REPLACE (region_id % 3 AS region_id) FROM companions), lv AS (
+  SELECT a.region_id, a.source_id, b.source_id AS k, b.x - a.x AS u, b.y - a.y AS v, ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / 2 AS w FROM fv a JOIN fv b ON a.region_id = b.region_id AND a.source_id <> b.source_id
+  UNION ALL SELECT c.region_id, source_id, -s, CASE s WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END, CASE s WHEN 3 THEN -1 WHEN 4 THEN 1 ELSE 0 END, CASE s WHEN 1 THEN x - x0 WHEN 2 THEN x1 - x WHEN 3 THEN y - y0 ELSE y1 - y END
+  FROM fv c JOIN (SELECT region_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fv GROUP BY 1) USING (region_id), range(1, 5) t(s)),
+cv AS (SELECT l.region_id, l.source_id, least(l.k, m.k) AS k, (l.w * m.v - m.w * l.v) / (l.u * m.v - m.u * l.v) AS x, (l.u * m.w - m.u * l.w) / (l.u * m.v - m.u * l.v) AS y FROM lv l JOIN lv m ON l.source_id = m.source_id AND l.k < m.k AND abs(l.u * m.v - m.u * l.v) > 1e-9),
+kc AS (SELECT * FROM cv WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.source_id = cv.source_id AND lv.u * cv.x + lv.v * cv.y > lv.w + 1e-7)),
+kv AS (SELECT *, atan2(y - avg(y) OVER (PARTITION BY source_id), x - avg(x) OVER (PARTITION BY source_id)) AS t FROM kc),
+nv AS (SELECT *, x * lead(y, 1, fy) OVER o - y * lead(x, 1, fx) OVER o AS twice FROM (SELECT *, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy FROM kv WINDOW o AS (PARTITION BY source_id ORDER BY t, x, y)) WINDOW o AS (PARTITION BY source_id ORDER BY t, x, y)),
+va AS (SELECT region_id, source_id, abs(sum(twice)) / 2 AS area, bool_or(k < 0) AS edge FROM nv GROUP BY 1, 2),
+vs AS (SELECT region_id, count(*) AS n_cells, median(area) AS median_area, avg(area) AS mean_area, coalesce(stddev_pop(area) / nullif(avg(area), 0), 0) AS cv FROM va WHERE NOT edge GROUP BY 1)"""
+
+
+def fields(spark, sf_dir):
+    """Companions in three fields, so that cells have neighbours on all sides."""
+    return relation(spark, sf_dir, "companions").withColumn("region_id", F.col("region_id") % 3)
+
+
+@query("voronoi_areas", f"""{COMP}, {VORONOI} SELECT region_id, source_id, round(coalesce(area, 0), 5) AS area, coalesce(edge, true) AS edge FROM fv LEFT JOIN va USING (region_id, source_id)""")
+def voronoi_areas(spark, sf_dir):
+    return shown(tessellation.voronoi_cells(fields(spark, sf_dir), ["region_id"]), "region_id", "source_id", "area", "edge", digits=5)
+
+
+@query("voronoi_statistics", f"""{COMP}, {VORONOI} SELECT region_id, n_cells, round(median_area, 5) AS median_area, round(mean_area, 5) AS mean_area, round(cv, 5) AS cv, round(greatest(cv - 0.53, 0), 5) AS clustering_excess FROM vs""")
+def voronoi_statistics(spark, sf_dir):
+    return shown(tessellation.voronoi_statistics(tessellation.voronoi_cells(fields(spark, sf_dir), ["region_id"]), ["region_id"]), digits=5)
+
+
 DENSITY = f"""{COMP}, g AS (SELECT i, j FROM range(21) a(i), range(21) b(j)), k AS (SELECT region_id, i, j, (x - i * 5) ** 2 + (y - j * 5) ** 2 AS d2 FROM companions, g),
 q AS (SELECT region_id, i, j, sum(exp(-d2 / 128e0)) / (128e0 * pi()) AS density FROM k WHERE d2 <= 1600 GROUP BY 1, 2, 3)"""
 
@@ -58,6 +95,25 @@ def overdensities(spark, sf_dir):
     return shown(spatial.overdensities(found, ["region_id"], 21), "region_id", "i", "j", "significance")
 
 
+#: The same views over the three fields.
+THIRDS = f"{DENSITY}, {PAIRS}, {CORRELATION}, {VORONOI}".replace(f"{COMP},", f"{COMP.replace('companions AS', 'cp AS')}, companions AS (SELECT * REPLACE (region_id % 3 AS region_id) FROM cp),", 1)
+
+
+@query("distribution_scores", f"""{THIRDS}, s AS (SELECT region_id, sum(density) / 441 AS mean, sqrt(greatest(0, sum(density ** 2) / 441 - (sum(density) / 441) ** 2)) AS std FROM q GROUP BY 1),
+o AS (SELECT region_id, max((density - mean) / std) AS peak FROM q JOIN s USING (region_id) WHERE (density - mean) / std > 3 GROUP BY 1), am AS (SELECT region_id, avg(xi) AS amplitude FROM ls WHERE bin < 1 GROUP BY 1),
+ce AS (SELECT region_id, avg(d) / (0.5 / sqrt(any_value(n) / any_value(w * h))) AS r FROM (SELECT region_id, a, min(d) AS d FROM p GROUP BY 1, 2) JOIN bx USING (region_id) GROUP BY 1)
+SELECT region_id, round(least(1, least(coalesce(greatest(cv - 0.53, 0), 0) / 0.5, 0.3) + least(abs(coalesce(amplitude, 0)) / 2, 0.3) + least(abs(coalesce(r, 1) - 1) / 0.5, 0.2) + least(coalesce(peak, 0) / 10, 0.2)), 5) AS distribution_score
+FROM ce LEFT JOIN vs USING (region_id) LEFT JOIN am USING (region_id) LEFT JOIN o USING (region_id)""")
+def distribution_scores(spark, sf_dir):
+    points = fields(spark, sf_dir)
+    by = ["region_id"]
+    found = tessellation.distribution_scores(
+        tessellation.voronoi_statistics(tessellation.voronoi_cells(points, by), by), spatial.landy_szalay(points, [0.0, 20.0, 40.0, 80.0], by),
+        spatial.clark_evans(points, spatial.nearest(points, by, 16)), spatial.overdensities(spatial.kernel_density(points, 8.0, 21, 0.0, 100.0, by), by, 21), by,
+    )
+    return shown(found, "region_id", "distribution_score", digits=5)
+
+
 def motions(spark, sf_dir):
     return relation(spark, sf_dir, "sources").select((F.col("region_id") % 5).alias("region_id"), "source_id", F.col("pmra").alias("x"), F.col("pmdec").alias("y"))
 
