@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from skyloom.llm.common import join_unique, stage
 
 #: Rows of a group, and groups of a group of groups, as powers of two.
-STEP = 9
+STEP = 12
 FAR = 1 << 40
 #: States: nothing yet, after system, after user, after assistant. What an inserted or changed row makes of them.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -139,7 +139,7 @@ def _node(pos: int, after: bool, s: int) -> int:
 def _arcs(row: dict) -> list[dict]:
     """Arcs of a group's rows that lie on optimal paths: each has its node's number times four and a letter."""
     rows, before, last = row["rows"], row["before"], row["last"]
-    follow = (rows[-1]["pos"], True) if last else (row["after_pos"], False)
+    follow = (rows[-1]["pos"] + (not last), last)
     ahead, done = [list(row["after"])], len(rows)
     for x in reversed(rows):
         ahead.append(backward(x["code"], ahead[-1]))
@@ -162,8 +162,17 @@ def _arcs(row: dict) -> list[dict]:
     return out
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows numbered from 0 on in pos, which holds a partition and a place in it."""
+    part = F.shiftright("pos", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # one row for each partition: few, and known to be
+    begin = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    return rows.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("pos", F.col("begin") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "begin")
+
+
 def _costs(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """groups with before, after, first, last and after_pos; and per conversation cost and illegal."""
+    """groups with before, after, first and last; and per conversation cost and illegal."""
     vector = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
     alone = groups.where("alone")
     single = alone.select("c", "g", "rows", vector(BEGIN).alias("before"), vector(TERMINAL).alias("after"), F.lit(True).alias("first"), F.lit(True).alias("last"))
@@ -241,7 +250,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(role_col), blank).alias("role"), F.coalesce(F.col(text_col), blank).alias("text"), F.monotonically_increasing_id().alias("u"),
     ).withColumn("hash", F.sha2("text", 256))
     order = ["c", F.asc_nulls_first("turn"), "role", "hash", "u"]
-    rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("u").withColumn("pos", F.monotonically_increasing_id()), "turns-rows")[0]
+    rows = _placed(stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("u").withColumn("pos", F.monotonically_increasing_id()), "turns-rows")[0])
     first = rows.groupBy("c", "role", "hash").agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("first"))
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     initial = F.when(F.col("role").startswith("s"), 0).when(F.col("role").startswith("u"), 1).when(F.col("role").startswith("a"), 2).otherwise(3)
@@ -257,10 +266,6 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     spread = groups.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c", F.lit(False).alias("alone"))
     groups = stage(groups.join(spread, "c", "left").withColumn("alone", F.coalesce("alone", F.lit(True))), "turns-groups")[0]
     known, totals = _costs(groups)
-    # positions of one conversation have gaps only between partitions: where a group ends, the next row is the least one beyond it
-    heads = marks.groupBy("c", F.shiftright("pos", 33).alias("part")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    jumps = heads.withColumn("after_pos", F.lead("low").over(Window.partitionBy("c").orderBy("part"))).where("after_pos is not null").select("c", F.col("high").alias("end"), "after_pos")
-    known = known.withColumn("end", F.col("rows")[F.size("rows") - 1]["pos"]).join(jumps, ["c", "end"], "left").withColumn("after_pos", F.coalesce("after_pos", F.col("end") + 1)).drop("end")
     arcs = stage(_map(known, "c string, arc long, node long, to long, root boolean", _arcs), "turns-arcs")[0]
     totals = totals.unionByName(_map(groups.where("alone").select("c", "rows"), "c string, cost long, illegal long", _single))
     path = _least_paths(arcs)

@@ -81,11 +81,11 @@ def some(rng, n):
     return [(rng.choice([None, *range(9)]), rng.choice(roles), rng.choice(texts)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("step", [9, 1])
+@pytest.mark.parametrize("step", [12, 1])
 def test_repairs_against_strings(spark, step, monkeypatch):
     monkeypatch.setattr(turns, "STEP", step)
     rng = random.Random(step)
-    convs = {i: some(rng, rng.choice([1, 2, 3, 5, 8, 12] + [40] * (i % 9 == 0))) for i in range(60 if step == 9 else 25)}
+    convs = {i: some(rng, rng.choice([1, 2, 3, 5, 8, 12] + [40] * (i % 9 == 0))) for i in range(60 if step == 12 else 25)}
     convs |= {None: some(rng, 6), 500: [(None, "user", "A.")] * 9, 501: [(i, "user" if i % 2 else "assistant", f"{i}.") for i in range(70)]}
     rows = [(k, *r) for k, v in convs.items() for r in v]
     rng.shuffle(rows)
