@@ -213,8 +213,8 @@ def streams(catalog: DataFrame, least: int = 8, tries: int = 100, tolerance: flo
     return best.where(F.col("n_members") >= least).select(by, "pair", "n_members")
 
 
-def greedy_matches(objects: pd.DataFrame, reach) -> list[list[int]]:
-    """Rows in groups: in order, an unused row takes all unused rows of other scales within reach(row, other)."""
+def greedy_matches(objects: pd.DataFrame, reach, nearest: bool = True) -> list[list[int]]:
+    """Rows in groups: in order, an unused row takes unused rows of other scales within reach(row, other), one of each, the nearest or else the first."""
     xy, scale = objects[["x", "y"]].to_numpy(float), objects["scale"].to_numpy()
     free, out = np.ones(len(objects), bool), []
     for i in range(len(objects)):
@@ -224,7 +224,7 @@ def greedy_matches(objects: pd.DataFrame, reach) -> list[list[int]]:
         d = np.hypot(*(xy - xy[i]).T)
         near = np.flatnonzero(free & (scale != scale[i]) & (d < reach(scale[i], scale)))
         own, used = [i], {scale[i]}
-        for j in near[np.argsort(d[near], kind="stable")]:
+        for j in near[np.argsort(d[near], kind="stable")] if nearest else near:
             if scale[j] not in used:
                 own.append(int(j))
                 used.add(scale[j])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluation, images, kernels, models, spatial, tessellation
+from skyloom.operators import evaluation, images, kernels, lens, models, spatial, stencils, tessellation
 from skyloom.plans.catalog_queries import sep_sql
 from skyloom.plans.registry import query, shown
 from skyloom.plans.relations import duck, relation
@@ -262,6 +262,84 @@ def lens_arcs(spark, sf_dir):
     return shown(images.lens_arcs(own, centres, sums.select("image_id", "rms")), "image_id", "ring", "sector", "n_pixels", "snr")
 
 
+MIRROR = "CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+
+
+def convolve_sql(table: str, taps: str, out: str) -> str:
+    """Views that convolve v of table with taps (k, w), along x and then y, over 32 x 31 pixels."""
+    full = "(SELECT image_id, gx.x, gy.y FROM (SELECT DISTINCT image_id FROM im), range(32) gx(x), range(31) gy(y))"
+    return f"""{out}x AS (SELECT g.image_id, g.x, g.y, sum(coalesce(s.v, 0) * w) AS v FROM {full} g, {taps} LEFT JOIN {table} s ON s.image_id = g.image_id AND s.y = g.y AND s.x = {MIRROR.format(i="g.x + k", n=32)} GROUP BY 1, 2, 3),
+{out} AS (SELECT g.image_id, g.x, g.y, sum(coalesce(s.v, 0) * w) AS v FROM {full} g, {taps} LEFT JOIN {out}x s ON s.image_id = g.image_id AND s.x = g.x AND s.y = {MIRROR.format(i="g.y + k", n=31)} GROUP BY 1, 2, 3)"""
+
+
+LENSES = f"""{PIX}, lr AS (SELECT image_id, median(v) AS bg, stddev_pop(v) AS rms FROM im GROUP BY 1), lv AS (SELECT image_id, x, y, v - bg AS v FROM im JOIN lr USING (image_id)),
+gt AS (SELECT k, exp(-0.5 * (k / 3e0) ** 2) / sum(exp(-0.5 * (k / 3e0) ** 2)) OVER () AS w FROM range(-12, 13) t(k)), {convolve_sql("lv", "gt", "gs")},
+ct AS (SELECT image_id, x AS x0, y AS y0, v AS peak FROM gs QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) = 1),
+nb AS (SELECT image_id, x, y, v, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS r, atan2(y - y0, x - x0) AS th, peak, x0, y0 FROM lv JOIN ct USING (image_id) WHERE x - x0 BETWEEN -30 AND 29 AND y - y0 BETWEEN -30 AND 29),
+br AS (SELECT image_id, r, row_number() OVER (PARTITION BY image_id ORDER BY r, x, y) AS nth, sum(v) OVER (PARTITION BY image_id ORDER BY v DESC, x, y ROWS UNBOUNDED PRECEDING) AS so_far, sum(v) OVER (PARTITION BY image_id) AS tot FROM nb WHERE r < 25 AND v > 0),
+hl AS (SELECT image_id, r AS radius FROM br JOIN (SELECT image_id, least(count(*) FILTER (so_far < 0.5 * tot) + 1, count(*)) AS nth FROM br GROUP BY 1) USING (image_id, nth)),
+ce AS (SELECT ct.*, coalesce(radius, 5) AS radius FROM ct LEFT JOIN hl USING (image_id)),
+po AS (SELECT nb.image_id, r, th, v - nb.peak * exp(-0.5 * (r / greatest(radius, 1)) ** 2) AS res FROM nb JOIN ce USING (image_id)),
+ar AS (SELECT image_id, k AS ring, s AS sector, avg(res) / any_value(rms) AS snr, count(*) AS n FROM po JOIN lr USING (image_id), range(3, 25, 5) a(k), range(12) b(s) WHERE r >= k AND r < k + 8 AND th >= s * (2 * pi() / 12) - pi() AND th < s * (2 * pi() / 12) - pi() + pi() / 3 GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(res) / any_value(rms) > 0.02),
+rs AS (SELECT image_id, k AS ring, least(floor((th + pi()) / (2 * pi() / 8)), 7) AS sector, sum(res) AS f, count(*) AS n, any_value(rms) AS rms FROM po JOIN lr USING (image_id), range(3, 25, 2) a(k) WHERE r >= k - 2 AND r < k + 2 GROUP BY 1, 2, 3),
+ri AS (SELECT image_id, ring, sum(f) / sum(n) / any_value(rms) AS snr, sum(f) / sum(n) AS mean_flux, count(*) FILTER (f / n > rms) / 8 AS completeness FROM rs GROUP BY 1, 2 HAVING sum(n) >= 20 AND sum(f) / sum(n) / any_value(rms) > 0.02)"""
+
+
+def lenses(spark, sf_dir):
+    return lens.detect(image(spark, sf_dir), 32, 31, pixel_scale=1.0, threshold=0.02)
+
+
+@query("lens_rings", f"""{LENSES} SELECT image_id, ring::BIGINT AS ring, round(snr, 6) AS snr, round(mean_flux, 6) AS mean_flux, completeness, completeness > 0.6 AS is_complete_ring FROM ri QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY snr DESC, ring) <= 5""")
+def lens_rings(spark, sf_dir):
+    return shown(lenses(spark, sf_dir)["rings"], "image_id", "ring", "snr", "mean_flux", "completeness", "is_complete_ring")
+
+
+@query("lens_scores", f"""{LENSES}, ba AS (SELECT image_id, max(snr) AS arc_snr FROM ar GROUP BY 1), bi AS (SELECT image_id, snr AS ring_snr, completeness FROM ri QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY snr DESC, ring) = 1),
+z AS (SELECT *, least(1, coalesce(least(arc_snr / 10, 0.4), 0) + coalesce(least(ring_snr / 10, 0.3) + CASE WHEN completeness > 0.6 THEN 0.2 ELSE 0 END, 0) + CASE WHEN peak > 0 THEN 0.1 ELSE 0 END) AS s FROM ce LEFT JOIN ba USING (image_id) LEFT JOIN bi USING (image_id))
+SELECT image_id, x0::BIGINT AS x0, y0::BIGINT AS y0, round(peak, 6) AS peak, round(radius, 6) AS radius, round(arc_snr, 6) AS arc_snr, round(ring_snr, 6) AS ring_snr, round(s, 6) AS lens_score, s > 0.3 AS is_candidate FROM z""")
+def lens_scores(spark, sf_dir):
+    return shown(lenses(spark, sf_dir)["scores"], "image_id", "x0", "y0", "peak", "radius", "arc_snr", "ring_snr", "lens_score", "is_candidate")
+
+
+WAVELETS = f"""{PIX}, ta AS (SELECT k, w / 16e0 AS w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(k, w)), tb AS (SELECT 2 * k AS k, w FROM ta), {convolve_sql("im", "ta", "sa")}, {convolve_sql("sa", "tb", "sb")},
+pl AS (SELECT image_id, 0 AS scale, x, y, coalesce(im.v, 0) - sa.v AS d FROM sa LEFT JOIN im USING (image_id, x, y) UNION ALL SELECT image_id, 1, x, y, sa.v - sb.v FROM sa JOIN sb USING (image_id, x, y)),
+no AS (SELECT image_id, scale, 1.4826e0 * mad(d) AS noise, sum(d * d) AS energy FROM pl GROUP BY 1, 2),
+sg AS (SELECT pl.*, y * 32 + x AS id, abs(d) / greatest(noise, 1e-10) AS sig FROM pl JOIN no USING (image_id, scale) WHERE abs(d) / greatest(noise, 1e-10) > 1.5),
+cc AS (WITH RECURSIVE c(image_id, scale, id, root) AS (SELECT image_id, scale, id, id FROM sg UNION SELECT c.image_id, c.scale, b.id, c.root FROM c JOIN sg a ON a.image_id = c.image_id AND a.scale = c.scale AND a.id = c.id JOIN sg b ON b.image_id = a.image_id AND b.scale = a.scale AND abs(a.x - b.x) + abs(a.y - b.y) = 1) SELECT image_id, scale, id, min(root) AS root FROM c GROUP BY 1, 2, 3),
+rg AS (SELECT image_id, scale, avg(x) AS cx, avg(y) AS cy, count(*) AS area, max(sig) AS peak, avg(d) > 0 AS is_positive FROM sg JOIN cc USING (image_id, scale, id) GROUP BY image_id, scale, root HAVING count(*) >= 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, scale ORDER BY peak DESC, cx, cy) AS rank FROM rg QUALIFY row_number() OVER (PARTITION BY image_id, scale ORDER BY peak DESC, cx, cy) <= 50)"""
+
+
+def wavelet_parts(spark, sf_dir):
+    planes = spatial.kept(stencils.wavelet_planes(image(spark, sf_dir), 32, 31))
+    noise = spatial.kept(stencils.wavelet_noise(planes))
+    return planes, noise, spatial.kept(stencils.wavelet_regions(planes, noise, threshold=1.5))
+
+
+@query("wavelet_noise", f"""{WAVELETS} SELECT image_id, scale::BIGINT AS scale, round(noise, 6) AS noise, round(energy, 4) AS energy FROM no""")
+def wavelet_noise(spark, sf_dir):
+    found = stencils.wavelet_noise(spatial.kept(stencils.wavelet_planes(image(spark, sf_dir), 32, 31)))
+    return shown(found.withColumn("energy", F.round("energy", 4)), "image_id", "scale", "noise", "energy")
+
+
+@query("wavelet_regions", f"""{WAVELETS} SELECT image_id, scale::BIGINT AS scale, round(cx, 6) AS cx, round(cy, 6) AS cy, area, round(peak, 6) AS peak, is_positive FROM rk""")
+def wavelet_regions(spark, sf_dir):
+    return shown(wavelet_parts(spark, sf_dir)[2], "image_id", "scale", "cx", "cy", "area", "peak", "is_positive")
+
+
+@query("wavelet_scores", f"""{WAVELETS}, dt AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY peak DESC, scale, cx, cy) AS i FROM rk WHERE rank <= 10),
+nx AS (SELECT a.image_id, a.i, list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL) AS near FROM dt a LEFT JOIN dt b ON a.image_id = b.image_id AND a.scale <> b.scale AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) < 5 GROUP BY 1, 2),
+gm AS (WITH RECURSIVE g(image_id, i, used, n) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], 0::BIGINT FROM dt UNION ALL
+ SELECT g.image_id, nx.i, CASE WHEN list_contains(used, nx.i) THEN used ELSE list_concat(used, [nx.i], list_filter(coalesce(near, []), lambda j: NOT list_contains(used, j))[1:1]) END, n + CASE WHEN NOT list_contains(used, nx.i) AND len(list_filter(coalesce(near, []), lambda j: NOT list_contains(used, j))) > 0 THEN 1 ELSE 0 END
+ FROM g JOIN nx ON nx.image_id = g.image_id AND nx.i = g.i + 1) SELECT image_id, max(n) AS n_objects FROM g GROUP BY 1),
+en AS (SELECT image_id, sum(scale * energy) / (sum(energy) + 1e-10) AS mean_scale, count(*) AS n_planes FROM no GROUP BY 1), dd AS (SELECT image_id, count(*) AS n, max(peak) AS top FROM dt GROUP BY 1)
+SELECT image_id, n_planes, round(mean_scale, 6) AS mean_scale, coalesce(n, 0) AS n_detections, coalesce(n_objects, 0) AS n_objects, round(least(1, least(coalesce(n_objects, 0) / 10, 0.3) + least(coalesce(n, 0) / 30, 0.15) + CASE WHEN top > 10 THEN 0.15 ELSE 0 END), 6) AS wavelet_score
+FROM en LEFT JOIN dd USING (image_id) LEFT JOIN gm USING (image_id)""")
+def wavelet_scores(spark, sf_dir):
+    _, noise, regions = wavelet_parts(spark, sf_dir)
+    return shown(stencils.wavelet_scores(noise, regions, stencils.wavelet_objects(regions)), "image_id", "n_planes", "mean_scale", "n_detections", "n_objects", "wavelet_score")
+
+
 @query("mask_algebra", f"""{PIX}, u AS (SELECT image_id, x, y, max(a) AS a, max(b) AS b FROM (SELECT image_id, x, y, 1 AS a, 0 AS b FROM im WHERE v > 27 UNION ALL SELECT image_id, x, y, 0, 1 FROM im WHERE x % 2 = 0) GROUP BY 1, 2, 3) SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, abs(a - b)::BIGINT AS mask FROM u""")
 def mask_algebra(spark, sf_dir):
     own = image(spark, sf_dir)
