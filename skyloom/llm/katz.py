@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from skyloom.llm.common import discard, fresh, stage
 
 #: Tokens of a block, questions of a part of the table, and the count from which a history is split over parts.
-BLOCK, PART = 300_000, 300_000
-HOT = PART // 2
+BLOCK, PART = 600_000, 400_000
+HOT = PART // 4
 #: Counts up to this one are discounted.
 K = 5
 #: Keys that no word has, as words hold no blanks: what stands before a text, and its end.
