@@ -7,12 +7,13 @@ rows for each binary digit of (value - smallest value). A query adds, for each s
 coefficients, the attribute's slices at that shift, with full adders over whole bitmaps; a negative
 coefficient adds the complemented slices, and a constant sets that right. The sum is again a stack of
 slices, read from the most significant one down to keep the k best rows; rows tied at the boundary go
-by smaller id. Scores of chosen rows are computed once more from their values.
+by smaller id. Scores of chosen rows are computed once more from their values, exactly whatever their size.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows with a
 null id, take no part; vectors meet those with as many components only; rows with the query's id are
 not its candidates; a query given by several rows counts once, with the smallest vector; repeated
-candidate rows are all ranked; empty tables give no rows. Other columns are not read.
+candidate rows are all ranked; empty tables give no rows. Scaled components of 2^62 or more, and scores among the
+k best that a long does not hold, are errors. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.vectors import meet, tiles
 
-SCHEMA = "query_id long, vec_id long, score long"
-#: The greatest size of a scaled component, and the bytes of a tile.
-LARGEST, TILE_BYTES = 1 << 26, 32 << 20
+#: A score is high * 2^62 + low; far beyond a long, high stands still.
+SCHEMA = "query_id long, vec_id long, high long, low long"
+BITS = 62
+#: Scaled components are below this; the bytes of a tile.
+LARGEST, TILE_BYTES = 1 << BITS, 32 << 20
 
 
 class Slices:
@@ -108,6 +111,21 @@ class Slices:
         return np.concatenate([self.rows(sure), self.rows(tied)[: k - n_sure]])
 
 
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles, as whole numbers."""
+    out = np.floor(scale * x)
+    if out.size and not np.abs(out).max() < LARGEST:
+        raise OverflowError(f"a scaled component is not below 2^{BITS}")
+    return out
+
+
+def exact_scores(data: np.ndarray, query: np.ndarray) -> list[int]:
+    if len(data) and float(np.abs(data).max()) * float(np.abs(query.astype(float)).sum()) < LARGEST:
+        return (data @ query).tolist()
+    own = query.tolist()
+    return [sum(a * b for a, b in zip(row, own, strict=True)) for row in data.tolist()]
+
+
 def search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Streams of meet: what each tile's best rows for each query are."""
     now, tile = None, None
@@ -123,10 +141,11 @@ def search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             out: list[tuple] = []
             for query_id, query in zip(ids.tolist(), data, strict=True):
                 at = tile.best(query_id, query, k)
-                out += zip([query_id] * len(at), tile.ids[at].tolist(), (tile.data[at] @ query).tolist(), strict=True)
+                out += zip([query_id] * len(at), tile.ids[at].tolist(), exact_scores(tile.data[at], query), strict=True)
             if out:
                 q, v, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+                high = [max(-LARGEST, min(LARGEST, x >> BITS)) for x in s]
+                yield pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()) for k, x in (("query_id", q), ("vec_id", v), ("high", high), ("low", [x & (LARGEST - 1) for x in s]))})
 
 
 def top_inner_products(
@@ -144,7 +163,8 @@ def top_inner_products(
     q_parts = max(1, -(-asks // per))
     groups = max(1, min(q_parts, -(-partitions // parts)))  # more than one only where tiles are too few for all tasks
     queries = rows.where("asks and id is not null and vec is not null").groupBy("id").agg(F.min("vec").alias("vec"))
-    floor = lambda x: np.clip(np.floor(scale * x), -LARGEST, LARGEST)
+    floor = lambda x: scaled(x, scale)
     found = meet(tiles(rows, parts, floor, "<i8"), parts, tiles(queries, q_parts, floor, "<i8"), groups, max(partitions, parts)).mapInArrow(lambda x: search(x, k), SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    score = F.when(F.col("high").between(-2, 1), F.col("high") * LARGEST + F.col("low")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -1,11 +1,14 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm import ann, topk
 from skyloom.llm.common import load
+from skyloom.llm.queries import ORACLE_SQL, QUERIES
 
 VECTORS = "vec_id long, embedding array<float>, score string, rank int"
 NAN, INF = float("nan"), float("inf")
@@ -95,10 +98,36 @@ def test_graph_search_finds_near_centres():
     assert (np.diff(d, axis=1) >= -1e-6).all() and len(model.centres) > 500
 
 
-def test_topk_huge_components(spark):
-    rows = [(0, [1e30, 1.0]), (1, [-1e30, 2.0]), (2, [3.0, 1.0])]
-    got = listed(topk.top_inner_products(frame(spark, rows), asks(), k=2))
-    assert got == [(0, 1, 2, topk.LARGEST * 3072 + 1024 * 1024), (0, 2, 1, -topk.LARGEST * topk.LARGEST + 1024 * 2048)]
+def exact_top(rows, k):
+    """By Python's whole numbers."""
+    scaled = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows}
+    out = []
+    for q in sorted(i for i in scaled if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(scaled[q], v, strict=True)), i) for i, v in scaled.items() if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return out
+
+
+def test_topk_large_components(spark):
+    rng = random.Random(3)
+    rows = [(0, [100_000.0, 1.0]), (1, [70_000.0, 2.0]), (2, [90_000.0, 1.0]), (3, [-1e5, 4e5]), (4, [float(1 << 20), -1e6])]
+    assert listed(topk.top_inner_products(frame(spark, rows), asks(), k=4)) == exact_top(rows, 4)
+    wide = [(i, [rng.uniform(-1e6, 1e6) for _ in range(3000)]) for i in range(0, 120)]
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_inner_products(frame(spark, wide), asks(), k=3, scale=1 << 20).collect()
+    wide = [(i, [rng.uniform(-1e4, 1e4) for _ in range(3000)]) for i in range(0, 120)]
+    assert listed(topk.top_inner_products(frame(spark, wide), asks(), k=3)) == exact_top(wide, 3)
+    far = [(0, [4e12, 1.0]), (1, [-4e12, 5.0]), (2, [0.0, 4e12]), (3, [0.0, 7.0])]
+    assert listed(topk.top_inner_products(frame(spark, far), asks(), k=2)) == exact_top(far, 2)
+    with pytest.raises(Exception, match="2\\^62"):
+        topk.top_inner_products(frame(spark, [(0, [1e30]), (1, [1.0])]), asks()).collect()
+
+
+def test_topk_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["op10_topk"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["op10_topk"](spark, sf).collect()) == want
 
 
 def test_few_rows_near_still_give_k(spark):
