@@ -211,6 +211,27 @@ def lens_arcs(pixels: DataFrame, centres: DataFrame, rms: DataFrame, inner: int
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("snr").desc(), "ring", "sector"))).where(F.col("rank") <= most)
 
 
+def coadd(pixels: DataFrame, grids: DataFrame, x0: float, y0: float, size: float) -> DataFrame:
+    """Images brought to one grid of square pixels and added: (x, y, flux, weight, mean, n_images).
+
+    grids has for each image the place of its first pixel's corner (gx, gy) and its pixel's sides (dx, dy, negative where an
+    axis runs backwards). A pixel's footprint goes to the pixels that it overlaps, as a join of its rows to
+    themselves would, with the shares of its area as weights: flux adds up to the images' flux, weight is the area
+    covered in new pixels, and mean the overlapping brightness a unit of area. Axes of images and grid are parallel.
+    Null and NaN pixels are left out.
+    """
+    own = pixels.where(F.col("v").isNotNull() & ~F.isnan("v")).join(grids, KEY)
+    for c, low in (("x", x0), ("y", y0)):
+        a, b = (F.col(f"g{c}") + (F.col(c) + k) * F.col(f"d{c}") - low for k in (0, 1))
+        own = own.withColumns({f"_{c}a": F.least(a, b) / size, f"_{c}b": F.greatest(a, b) / size})
+    cells = lambda c: F.explode(F.sequence(F.floor(f"_{c}a"), F.greatest(F.ceil(f"_{c}b") - 1, F.floor(f"_{c}a"))))
+    over = lambda c: F.least(F.col(f"_{c}b"), F.col(f"_{c}") + 1) - F.greatest(F.col(f"_{c}a"), F.col(f"_{c}"))
+    near = own.withColumn("_x", cells("x")).withColumn("_y", cells("y")).withColumn("area", over("x") * over("y")).where("area > 0")
+    bright = F.col("v") / ((F.col("_xb") - F.col("_xa")) * (F.col("_yb") - F.col("_ya")))
+    sums = near.groupBy(F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.sum(bright * F.col("area")).alias("flux"), F.sum("area").alias("weight"), F.countDistinct(*KEY).alias("n_images"))
+    return sums.select("x", "y", "flux", "weight", (F.col("flux") / F.col("weight")).alias("mean"), "n_images")
+
+
 def mask_algebra(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """and, or, xor of two masks of 0 and 1; absent pixels are 0."""
     both = left.select(*KEY, "x", "y", F.col("mask").alias("a"), F.lit(0).alias("b")).unionByName(right.select(*KEY, "x", "y", F.lit(0).alias("a"), F.col("mask").alias("b")))

@@ -127,35 +127,6 @@ def genome_distance(a: Column, b: Column, ranges: list[float]) -> Column:
     return F.sqrt(F.aggregate(F.transform(part, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
 
 
-def bootstrap_mean(values: DataFrame, by: list[str], value: str, replicates: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean: each row takes a Poisson(1) weight in every replicate, so rows never gather.
-
-    The weights come from hashes, so reruns agree.
-    """
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    each = values.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(*by, value, "seq", "replicate", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    weight = sum(((F.col("u") > c).cast("int") for c in cuts), F.lit(0))
-    means = each.withColumn("u", u).withColumn("w", weight).groupBy(*by, "replicate").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    half = (1 - level) / 2
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(half)).alias("low"), F.percentile("m", F.lit(1 - half)).alias("high"))
-
-
-def permutation_p(values: DataFrame, by: list[str], value: str, label: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Two-sided p of the difference of label means: labels are shuffled by the order of hashes within each group and round."""
-    w = Window.partitionBy(*by)
-    base = values.withColumn("n1", F.sum(F.col(label).cast("int")).over(w)).withColumn("n", F.count("*").over(w)).where("n1 > 0 and n1 < n")
-    seen = base.groupBy(*by).agg(F.abs(F.avg(F.when(F.col(label), F.col(value))) - F.avg(F.when(~F.col(label), F.col(value)))).alias("seen"))
-    each = base.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    turn = F.row_number().over(Window.partitionBy(*by, "round").orderBy(F.xxhash64("seq", "round", F.lit(seed))))
-    drawn = each.withColumn("one", turn <= F.col("n1")).groupBy(*by, "round").agg(F.abs(F.avg(F.when(F.col("one"), F.col(value))) - F.avg(F.when(~F.col("one"), F.col(value)))).alias("d"))
-    return drawn.join(seen, by).groupBy(*by).agg(((F.count_if(F.col("d") >= F.col("seen")) + 1) / F.lit(rounds + 1)).alias("p_value"))
-
-
 def replay(runs: list[DataFrame], most: int = 50) -> DataFrame:
     """The fittest genomes of several runs: a union and top-k."""
     out = runs[0]

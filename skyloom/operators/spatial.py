@@ -32,8 +32,8 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, by: list[str
     return out.where(F.col("distance") < radius if strict else F.col("distance") <= radius).drop("cx", "cy")
 
 
-def sky_join(left: DataFrame, right: DataFrame, radius_arcmin: float, suffix: str = "_r") -> DataFrame:
-    """Pairs of left and right rows within radius on the sky, with sep_arcmin; bands of declination, then cells of right ascension as wide as the band needs."""
+def sky_join(left: DataFrame, right: DataFrame, radius_arcmin: float, suffix: str = "_r", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left and right rows (of one group) within radius on the sky, with sep_arcmin; bands of declination, then cells of right ascension as wide as the band needs."""
     band = radius_arcmin / 60
     row = lambda dec: F.floor(dec / band)
 
@@ -47,8 +47,8 @@ def sky_join(left: DataFrame, right: DataFrame, radius_arcmin: float, suffix: st
     own = own.withColumn("ca", cell(F.col("ra"), F.col("cw"))).drop("cw")
     other = right.withColumn("cb", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: row(F.col("dec")) + i))).withColumn("cw", width(F.col("cb")))
     near = F.when(count(F.col("cw")) < 3, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(cell(F.col("ra"), F.col("cw")) + i, count(F.col("cw")))))
-    other = other.withColumn("ca", F.explode(near)).select("cb", "ca", *[F.col(c).alias(c + suffix) for c in right.columns])
-    out = own.join(other, ["cb", "ca"]).withColumn("sep_arcmin", separation(F.col("ra"), F.col("dec"), F.col("ra" + suffix), F.col("dec" + suffix)) * 60)
+    other = other.withColumn("ca", F.explode(near)).select(*by, "cb", "ca", *[F.col(c).alias(c + suffix) for c in right.columns if c not in by])
+    out = own.join(other, [*by, "cb", "ca"]).withColumn("sep_arcmin", separation(F.col("ra"), F.col("dec"), F.col("ra" + suffix), F.col("dec" + suffix)) * 60)
     return out.where(F.col("sep_arcmin") <= radius_arcmin).drop("cb", "ca")
 
 
@@ -94,6 +94,20 @@ def groups(points: DataFrame, radius: float, by: list[str], id_col: str = "sourc
     return points.join(found.withColumnRenamed("node", id_col).withColumnRenamed("root", "group_id"), id_col, "left")
 
 
+def anomaly_groups(anomalies: DataFrame, by: list[str], id_col: str = "seq", sky_arcsec: float = 5.0, pixels: float = 15.0) -> DataFrame:
+    """anomalies with group_id, the least id of those connected by steps on the sky (ra, dec) or on the image (x, y); null for those alone.
+
+    Anomalies without one of the places are connected by the other; distances on the sky are true ones, so that groups
+    hold together across 0 degrees and around the poles. Only rows of one group of by are connected.
+    """
+    sky = anomalies.where("ra is not null and dec is not null and not isnan(ra) and not isnan(dec)").select(*by, id_col, "ra", "dec")
+    flat = anomalies.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*by, id_col, "x", "y")
+    pair = [F.col(id_col).alias("a"), F.col(f"{id_col}_r").alias("b")]
+    edges = sky_join(sky, sky, sky_arcsec / 60, by=tuple(by)).select(*pair).union(distance_join(flat, flat, pixels, by).select(*pair)).where("a < b")
+    found = components(edges)
+    return anomalies.join(found.withColumnRenamed("node", id_col).withColumnRenamed("root", "group_id"), id_col, "left")
+
+
 def dbscan(points: DataFrame, eps: float, least: int, by: list[str], id_col: str = "source_id") -> DataFrame:
     """points with cluster, the least core id of their density cluster; a border point goes to its least cluster, noise has null."""
     own = points.select(*by, id_col, "x", "y")

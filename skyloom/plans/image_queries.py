@@ -151,6 +151,18 @@ def cross_reference(spark, sf_dir):
     return shown(found.withColumn("nearest_arcmin", F.round("nearest_arcmin", 5)), "source_id", "n_matches", "nearest_arcmin", "is_known", "is_known_lens")
 
 
+@query("sky_groups", f"""{duck("sources")}, an AS (SELECT region_id % 3 AS region_id, source_id, ra, dec, CASE WHEN source_id % 4 = 0 THEN mag * 10 END AS x, CASE WHEN source_id % 4 = 0 THEN bp_rp * 20 END AS y FROM sources),
+e AS (SELECT a.source_id AS a, b.source_id AS b FROM an a JOIN an b ON a.region_id = b.region_id AND a.source_id <> b.source_id WHERE {sep_sql("a.ra", "a.dec", "b.ra", "b.dec")} <= 2 OR sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.5),
+w AS (WITH RECURSIVE r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT n, min(m) AS g FROM r GROUP BY n)
+SELECT region_id, source_id, g AS group_id FROM an LEFT JOIN w ON n = source_id""")
+def sky_groups(spark, sf_dir):
+    """Anomalies connected within 2 degrees on the sky or, a quarter of them, within 1.5 pixels."""
+    own = relation(spark, sf_dir, "sources")
+    seen = F.col("source_id") % 4 == 0
+    found = own.select((F.col("region_id") % 3).alias("region_id"), "source_id", "ra", "dec", F.when(seen, F.col("mag") * 10).alias("x"), F.when(seen, F.col("bp_rp") * 20).alias("y"))
+    return shown(spatial.anomaly_groups(found, ["region_id"], "source_id", 7200, 1.5), "region_id", "source_id", "group_id")
+
+
 PIX = f"""{duck("pixels")}, fr AS (SELECT image_id, x, y, epoch, avg(v) AS v FROM pixels GROUP BY 1, 2, 3, 4), im AS (SELECT image_id, x, y, avg(v) AS v FROM pixels GROUP BY 1, 2, 3)"""
 
 
@@ -295,7 +307,7 @@ def lens_rings(spark, sf_dir):
 
 
 @query("lens_scores", f"""{LENSES}, ba AS (SELECT image_id, max(snr) AS arc_snr FROM ar GROUP BY 1), bi AS (SELECT image_id, snr AS ring_snr, completeness FROM ri QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY snr DESC, ring) = 1),
-z AS (SELECT *, least(1, coalesce(least(arc_snr / 10, 0.4), 0) + coalesce(least(ring_snr / 10, 0.3) + CASE WHEN completeness > 0.6 THEN 0.2 ELSE 0 END, 0) + CASE WHEN peak > 0 THEN 0.1 ELSE 0 END) AS s FROM ce LEFT JOIN ba USING (image_id) LEFT JOIN bi USING (image_id))
+z AS (SELECT *, least(1, least(coalesce(arc_snr, 0) / 10, 0.4) + least(coalesce(ring_snr, 0) / 10, 0.3) + CASE WHEN completeness > 0.6 THEN 0.2 ELSE 0 END + CASE WHEN peak > 0 THEN 0.1 ELSE 0 END) AS s FROM ce LEFT JOIN ba USING (image_id) LEFT JOIN bi USING (image_id))
 SELECT image_id, x0::BIGINT AS x0, y0::BIGINT AS y0, round(peak, 6) AS peak, round(radius, 6) AS radius, round(arc_snr, 6) AS arc_snr, round(ring_snr, 6) AS ring_snr, round(s, 6) AS lens_score, s > 0.3 AS is_candidate FROM z""")
 def lens_scores(spark, sf_dir):
     return shown(lenses(spark, sf_dir)["scores"], "image_id", "x0", "y0", "peak", "radius", "arc_snr", "ring_snr", "lens_score", "is_candidate")
@@ -340,6 +352,20 @@ def wavelet_scores(spark, sf_dir):
     return shown(stencils.wavelet_scores(noise, regions, stencils.wavelet_objects(regions)), "image_id", "n_planes", "mean_scale", "n_detections", "n_objects", "wavelet_score")
 
 
+GRID = "ascii(image_id) % 7 * 1.7e0 AS gx, ascii(image_id) % 5 * 2.3e0 AS gy, 0.8e0 + ascii(image_id) % 3 * 0.35e0 AS dx, 0.25e0 - ascii(image_id) % 4 * 0.5e0 AS dy"
+
+
+@query("mosaic_coadd", f"""{PIX}, fp AS (SELECT image_id, v, least(gx + x * dx, gx + (x + 1) * dx) / 1.5e0 AS xa, greatest(gx + x * dx, gx + (x + 1) * dx) / 1.5e0 AS xb, least(gy + y * dy + 4, gy + (y + 1) * dy + 4) / 1.5e0 AS ya, greatest(gy + y * dy + 4, gy + (y + 1) * dy + 4) / 1.5e0 AS yb FROM im JOIN (SELECT image_id, {GRID} FROM (SELECT DISTINCT image_id FROM im)) USING (image_id)),
+ov AS (SELECT image_id, i, j, v / ((xb - xa) * (yb - ya)) AS bright, (least(xb, i + 1) - greatest(xa, i)) * (least(yb, j + 1) - greatest(ya, j)) AS area FROM fp, LATERAL (SELECT unnest(range(floor(xa)::BIGINT, ceil(xb)::BIGINT)) AS i), LATERAL (SELECT unnest(range(floor(ya)::BIGINT, ceil(yb)::BIGINT)) AS j))
+SELECT i AS x, j AS y, round(sum(bright * area), 5) AS flux, round(sum(area), 5) AS weight, round(sum(bright * area) / sum(area), 5) AS mean, count(DISTINCT image_id) AS n_images FROM ov WHERE area > 1e-9 GROUP BY 1, 2""")
+def mosaic_coadd(spark, sf_dir):
+    """Three images of different pixels, one axis of some running backwards, on one grid."""
+    own = image(spark, sf_dir)
+    grids = own.select("image_id").distinct().selectExpr("image_id", *GRID.split(", "))
+    found = images.coadd(own, grids, 0.0, -4.0, 1.5)
+    return shown(found.where("weight > 1e-9"), "x", "y", "flux", "weight", "mean", "n_images", digits=5)
+
+
 @query("mask_algebra", f"""{PIX}, u AS (SELECT image_id, x, y, max(a) AS a, max(b) AS b FROM (SELECT image_id, x, y, 1 AS a, 0 AS b FROM im WHERE v > 27 UNION ALL SELECT image_id, x, y, 0, 1 FROM im WHERE x % 2 = 0) GROUP BY 1, 2, 3) SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, abs(a - b)::BIGINT AS mask FROM u""")
 def mask_algebra(spark, sf_dir):
     own = image(spark, sf_dir)

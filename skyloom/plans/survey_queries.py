@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluation, learning, outliers, population
+from skyloom.operators import evaluation, learning, outliers, population, resampling
 from skyloom.plans import report
 from skyloom.plans.catalog_queries import binned_sql
 from skyloom.plans.registry import query, shown
@@ -285,14 +285,44 @@ def feedback_stats(spark, sf_dir):
     return shown(learning.feedback_stats(feedback(spark, sf_dir)))
 
 
-@query("bootstrap_intervals")
+CUTS = " + ".join(f"(u > {c!r})::INT" for c in resampling.poisson_cuts())
+#: Every row in every round with its unit number, by the operator's integers.
+ROUNDS = f"""{FEED}, r0 AS (SELECT type, score, seq, good, r, ((seq % 2147483648 + r * 7919) & 2147483647) AS x FROM f, range(1, 101) t(r)), r1 AS (SELECT * REPLACE ((x * 1103515245 + 12345) & 2147483647 AS x) FROM r0), r2 AS (SELECT * REPLACE (xor(x, x >> 15) AS x) FROM r1),
+r3 AS (SELECT * REPLACE ((x * 1664525 + 1013904223) & 2147483647 AS x) FROM r2), r4 AS (SELECT * REPLACE (xor(x, x >> 13) AS x) FROM r3), r5 AS (SELECT * REPLACE ((x * 69069 + 1) & 2147483647 AS x) FROM r4), ru AS (SELECT *, xor(x, x >> 16) / 2147483648e0 AS u FROM r5), rw AS (SELECT *, {CUTS} AS w FROM ru)"""
+
+
+def interval_sql(value: str, views: str, plain: str) -> str:
+    """From views ev (type, m of each round) and the estimate, the operator's columns."""
+    return f"""{ROUNDS}, {views}, es AS ({plain}) SELECT type, round(any_value(es.m), 6) AS estimate, round(quantile_cont(ev.m, 0.025), 6) AS low, round(quantile_cont(ev.m, 0.975), 6) AS high, round(stddev_pop(ev.m), 6) AS spread FROM ev JOIN es USING (type) GROUP BY 1"""
+
+
+@query("bootstrap_intervals", interval_sql("mean", "ev AS (SELECT type, r, sum(w * score) / nullif(sum(w), 0) AS m FROM rw GROUP BY 1, 2)", "SELECT type, avg(score) AS m FROM f GROUP BY 1"))
 def bootstrap_intervals(spark, sf_dir):
-    return shown(learning.bootstrap_mean(feedback(spark, sf_dir), ["type"], "score", 100))
+    return shown(resampling.bootstrap(feedback(spark, sf_dir), ["type"], resampling.mean(F.col("score")), 100))
+
+
+@query("bootstrap_ratios", interval_sql("ratio", "ev AS (SELECT type, r, sum(w * CASE WHEN good THEN score ELSE 0 END) / nullif(sum(w * score), 0) AS m FROM rw GROUP BY 1, 2)", "SELECT type, sum(CASE WHEN good THEN score ELSE 0 END) / sum(score) AS m FROM f GROUP BY 1"))
+def bootstrap_ratios(spark, sf_dir):
+    """How much of all score interesting findings hold."""
+    good = F.when(F.col("is_interesting"), F.col("score")).otherwise(0.0)
+    return shown(resampling.bootstrap(feedback(spark, sf_dir), ["type"], resampling.ratio(good, F.col("score")), 100))
+
+
+BINS = "greatest(0, least(31, floor(score * 32)))"
+MIDDLE = "SELECT type, r, (min(k) FILTER (c >= h) + 0.5) / 32 AS m FROM (SELECT type, r, k, sum(n) OVER (PARTITION BY type, r ORDER BY k) AS c, sum(n) OVER (PARTITION BY type, r) / 2 AS h FROM ({0})) GROUP BY 1, 2"
+
+
+@query("bootstrap_medians", interval_sql("median", f"ev AS ({MIDDLE.format(f'SELECT type, r, {BINS} AS k, sum(w) AS n FROM rw GROUP BY 1, 2, 3')})", f"SELECT type, m FROM ({MIDDLE.format(f'SELECT type, 0 AS r, {BINS} AS k, count(*) AS n FROM f GROUP BY 1, 2, 3')})"))
+def bootstrap_medians(spark, sf_dir):
+    """Of scores, to a bin of 1/32."""
+    return shown(resampling.bootstrap(feedback(spark, sf_dir), ["type"], resampling.median(F.col("score"), 0.0, 1.0, 32), 100))
 
 
-@query("permutation_tests")
+@query("permutation_tests", f"""{ROUNDS}, sh AS (SELECT type, avg(good::INT::DOUBLE) AS p, abs(avg(score) FILTER (good) - avg(score) FILTER (NOT good)) AS observed FROM f GROUP BY 1 HAVING avg(good::INT::DOUBLE) > 0 AND avg(good::INT::DOUBLE) < 1),
+dr AS (SELECT type, r, abs(avg(score) FILTER (u < p) - avg(score) FILTER (u >= p)) AS d FROM ru JOIN sh USING (type) GROUP BY 1, 2)
+SELECT type, round(any_value(observed), 6) AS observed, round((count(*) FILTER (coalesce(d >= observed, true)) + 1) / 101, 6) AS p_value FROM dr JOIN sh USING (type) GROUP BY 1""")
 def permutation_tests(spark, sf_dir):
-    return shown(learning.permutation_p(feedback(spark, sf_dir), ["type"], "score", "is_interesting", 100))
+    return shown(resampling.randomisation_test(feedback(spark, sf_dir), ["type"], resampling.mean(F.col("score")), "is_interesting", 100))
 
 
 CALLS = duck("calls")
