@@ -357,7 +357,7 @@ def sersic_fits(images: DataFrame) -> DataFrame:
     return per_image(images, run, "i_e double, r_e double, n double, ellipticity double, chi2_reduced double, morphology string")
 
 
-# composed pipelines
+# operations on one image, for the search over six genes (operators/pipelines.py has those of composed pipelines)
 
 
 def _radial_residual(a: np.ndarray, **_) -> np.ndarray:
@@ -397,17 +397,6 @@ SCORERS: dict[str, Callable[[np.ndarray], float]] = {
     "area_fraction": lambda a: float((np.abs(a - np.median(a)) > 3 * max(mad_sigma(a), 1e-10)).mean()),
     "entropy": lambda a: float(-sum(p * math.log2(p) for p in np.histogram(a, 32)[0] / a.size if p > 0) / 5),
 }
-#: Pipelines to start a search from: name, operations with parameters, scorer.
-PRESET_PIPELINES: dict[str, tuple[list[tuple[str, dict]], str]] = {
-    "faint_structure": ([("mask_sources", {"threshold": 3.0}), ("convolve_kernel", {"sigma": 2.0})], "max_significance"),
-    "edges": ([("convolve_kernel", {"sigma": 1.0}), ("edge_detect", {})], "max_significance"),
-    "fine_scale": ([("wavelet_residual", {"scale": 0}), ("threshold_image", {"sigma": 4.0})], "area_fraction"),
-    "coarse_scale": ([("wavelet_residual", {"scale": 2})], "max_significance"),
-    "rings": ([("radial_profile_residual", {}), ("threshold_image", {"sigma": 3.0})], "area_fraction"),
-    "point_sources": ([("subtract_model", {"sigma": 5.0}), ("cross_correlate", {"sigma": 1.5})], "max_significance"),
-    "texture": ([("region_statistics", {"size": 8})], "entropy"),
-    "masked_edges": ([("edge_detect", {}), ("threshold_image", {"sigma": 3.0}), ("combine_masks", {"how": "or"})], "area_fraction"),
-}
 
 
 def run_pipeline(a: np.ndarray, operations: list[tuple[str, dict]], scorer: str) -> tuple[float, list[str]]:
@@ -421,10 +410,3 @@ def run_pipeline(a: np.ndarray, operations: list[tuple[str, dict]], scorer: str)
         previous, a = a, out
         steps.append(f"{name}: mean {a.mean():.4g}, std {a.std():.4g}")
     return min(1.0, max(0.0, SCORERS[scorer](a))), steps
-
-
-def run_pipelines(images: DataFrame, pipelines: dict[str, tuple[list[tuple[str, dict]], str]]) -> DataFrame:
-    def run(a: np.ndarray) -> list[tuple]:
-        return [(name, *run_pipeline(a, *spec)) for name, spec in pipelines.items()]
-
-    return per_image(images, run, "pipeline string, score double, steps array<string>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.sphere import separation
-from skyloom.sources.storage import shared_folder
+from skyloom.sources.storage import saved
 
 
 def cells(x: Column, y: Column, size: float) -> list[Column]:
@@ -62,11 +62,8 @@ def cross_reference(positions: DataFrame, known: DataFrame, radius_arcmin: float
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder, so that loops neither recompute nor outgrow their plans."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder and read again, so that loops neither recompute nor outgrow their plans; lost executors take nothing with them."""
+    return saved(df)
 
 
 def components(edges: DataFrame) -> DataFrame:

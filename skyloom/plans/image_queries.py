@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluation, images, kernels, lens, models, spatial, stencils, tessellation
+from skyloom.operators import evaluation, images, kernels, lens, models, pipelines, spatial, stencils, tessellation
 from skyloom.plans.catalog_queries import sep_sql
 from skyloom.plans.registry import query, shown
 from skyloom.plans.relations import duck, relation
@@ -274,7 +275,7 @@ def lens_arcs(spark, sf_dir):
     return shown(images.lens_arcs(own, centres, sums.select("image_id", "rms")), "image_id", "ring", "sector", "n_pixels", "snr")
 
 
-MIRROR = "CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+MIRROR = "least((({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}), 2 * {n} - 1 - (({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
 
 
 def convolve_sql(table: str, taps: str, out: str) -> str:
@@ -414,9 +415,94 @@ def sersic_fits(spark, sf_dir):
     return shown(kernels.sersic_fits(arrays(spark, sf_dir)))
 
 
-@query("composed_pipelines")
+class Steps:
+    """SQL of composed pipelines, an operation a view, each a whole grid of image_id, x, y, v."""
+
+    def __init__(self) -> None:
+        self.views = [PIX[len("WITH "):], "d0 AS (SELECT g.image_id, g.x, g.y, coalesce(im.v, 0) AS v FROM (SELECT image_id, gx.x, gy.y FROM (SELECT DISTINCT image_id FROM im), range(32) gx(x), range(31) gy(y)) g LEFT JOIN im USING (image_id, x, y))", "src AS (SELECT image_id, x, y FROM im QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) <= 5)"]
+
+    def add(self, text: str) -> str:
+        name = f"p{len(self.views)}"
+        self.views.append(f"{name} AS ({text})")
+        return name
+
+    def smooth(self, of: str, sigma: float) -> str:
+        reach, k = int(4 * sigma + 0.5), len(self.views)
+        self.views.append(f"t{k} AS (SELECT k, exp(-0.5 * (k / {sigma}e0) ** 2) / sum(exp(-0.5 * (k / {sigma}e0) ** 2)) OVER () AS w FROM range(-{reach}, {reach + 1}) t(k)), {convolve_sql(of, f't{k}', f's{k}')}")
+        return f"s{k}"
+
+    def less(self, a: str, b: str) -> str:
+        return self.add(f"SELECT image_id, x, y, a.v - b.v AS v FROM {a} a JOIN {b} b USING (image_id, x, y)")
+
+    def above(self, of: str, share: float) -> str:
+        return self.add(f"SELECT image_id, x, y, (v > c)::INT::DOUBLE AS v FROM {of} JOIN (SELECT image_id, quantile_cont(v, {share}) AS c FROM {of} GROUP BY 1) USING (image_id)")
+
+    def mask_sources(self, of, radius_px):
+        return self.add(f"SELECT image_id, x, y, CASE WHEN EXISTS (SELECT 1 FROM src WHERE src.image_id = o.image_id AND abs(src.x - o.x) <= {radius_px} AND abs(src.y - o.y) <= {radius_px}) THEN 0 ELSE v END AS v FROM {of} o")
+
+    def subtract_model(self, of, smooth_sigma):
+        return self.less(of, self.smooth(of, smooth_sigma))
+
+    def wavelet_residual(self, of, scale):
+        for s in range(scale):
+            before, of = of, self.smooth(of, float(2**s))
+        return self.less(before, of)
+
+    def threshold_image(self, of, percentile):
+        return self.above(of, percentile / 100)
+
+    def convolve_kernel(self, of, kernel_size, type):  # noqa: A002
+        if type == "gaussian":
+            return self.smooth(of, kernel_size / 4)
+        at = lambda i, j: f"(SELECT v FROM {of} q WHERE q.image_id = o.image_id AND q.x = {MIRROR.format(i=f'o.x + {i}', n=32)} AND q.y = {MIRROR.format(i=f'o.y + {j}', n=31)})"
+        return self.add(f"SELECT image_id, x, y, {at(-1, 0)} + {at(1, 0)} + {at(0, -1)} + {at(0, 1)} - 4 * v AS v FROM {of} o")
+
+    def cross_correlate(self, of, smooth_sigma):
+        density = self.smooth(self.add("SELECT image_id, x, y, count(*)::DOUBLE AS v FROM src GROUP BY 1, 2, 3"), smooth_sigma)
+        return self.add(f"SELECT image_id, x, y, a.v * b.v / top AS v FROM {of} a JOIN {density} b USING (image_id, x, y) JOIN (SELECT image_id, max(v) AS top FROM {density} GROUP BY 1) USING (image_id)")
+
+    def region_statistics(self, of, stat_type):
+        self.counted = self.add(f"SELECT image_id, x, y FROM {of} WHERE v > 0")
+        return of
+
+    def edge_detect(self, of, method, threshold):
+        at = lambda i, j: f"(SELECT v FROM {of} q WHERE q.image_id = o.image_id AND q.x = {MIRROR.format(i=f'o.x + {i}', n=32)} AND q.y = {MIRROR.format(i=f'o.y + {j}', n=31)})"
+        gx = " + ".join(f"{w} * ({at(1, j)} - {at(-1, j)})" for j, w in ((-1, 1), (0, 2), (1, 1)))
+        gy = " + ".join(f"{w} * ({at(j, 1)} - {at(j, -1)})" for j, w in ((-1, 1), (0, 2), (1, 1)))
+        edges = self.add(f"SELECT image_id, x, y, sqrt(({gx}) ** 2 + ({gy}) ** 2) AS v FROM {of} o")
+        return self.add(f"SELECT image_id, x, y, CASE WHEN v > c THEN 1 WHEN v > 0.4 * c THEN 0.5 ELSE 0 END::DOUBLE AS v FROM {edges} JOIN (SELECT image_id, quantile_cont(v, {(100 - threshold) / 100}) AS c FROM {edges} GROUP BY 1) USING (image_id)")
+
+    def radial_profile_residual(self, of, center_method):
+        middle = f"SELECT image_id, x AS x0, y AS y0 FROM {of} QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) = 1" if center_method == "peak" else f"SELECT image_id, sum(x * abs(v)) / sum(abs(v)) AS x0, sum(y * abs(v)) / sum(abs(v)) AS y0 FROM {of} GROUP BY 1"
+        far = self.add(f"SELECT image_id, x, y, v, floor(sqrt((x - x0) ** 2 + (y - y0) ** 2)) AS r FROM {of} JOIN ({middle}) USING (image_id)")
+        return self.add(f"SELECT image_id, x, y, v - avg(v) OVER (PARTITION BY image_id, r) AS v FROM {far}")
+
+    def score(self, name, of, method):
+        if method == "max_residual":
+            return f"SELECT image_id, '{name}' AS pipeline, CASE WHEN stddev_pop(v) < 1e-10 THEN 0 ELSE least(max(abs(v)) / (5 * stddev_pop(v)), 1) END AS score FROM {of} GROUP BY 1"
+        if method == "area_fraction":
+            return f"SELECT image_id, '{name}' AS pipeline, CASE WHEN avg(v) < 0.005 THEN 0 WHEN avg(v) > 0.2 THEN greatest(0, 1 - (avg(v) - 0.2) * 5) ELSE least(avg(v) * 10, 1) END AS score FROM {self.above(of, 0.9)} GROUP BY 1"
+        mask = self.counted or self.add(f"SELECT image_id, x, y FROM {self.above(of, 0.95)} WHERE v > 0")
+        tree = self.add(f"WITH RECURSIVE c(image_id, x, y, root) AS (SELECT image_id, x, y, y * 32 + x FROM {mask} UNION SELECT c.image_id, b.x, b.y, c.root FROM c JOIN {mask} b ON b.image_id = c.image_id AND abs(b.x - c.x) + abs(b.y - c.y) = 1) SELECT image_id, x, y, min(root) AS root FROM c GROUP BY 1, 2, 3")
+        return f"SELECT image_id, '{name}' AS pipeline, least(coalesce(n, 0) / 10, 1) AS score FROM (SELECT DISTINCT image_id FROM im) LEFT JOIN (SELECT image_id, count(DISTINCT root) AS n FROM {tree} GROUP BY 1) USING (image_id)"
+
+    def sql(self, chosen) -> str:
+        parts = []
+        for name, (operations, method) in chosen.items():
+            of, self.counted = "d0", None
+            for op, params in operations:
+                of = getattr(self, op)(of, **params)
+            parts.append(self.add(self.score(name, of, method)))
+        return f"WITH {', '.join(self.views)} " + " UNION ALL ".join(f"SELECT image_id, pipeline, round(greatest(0, least(score, 1)), 6) AS score FROM {p}" for p in parts)
+
+
+@query("composed_pipelines", Steps().sql(pipelines.PRESETS))
 def composed_pipelines(spark, sf_dir):
-    return shown(kernels.run_pipelines(arrays(spark, sf_dir), kernels.PRESET_PIPELINES), "image_id", "pipeline", "score")
+    """The presets over every image; its five brightest pixels are the sources."""
+    own = image(spark, sf_dir)
+    top = F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("v").desc(), "y", "x"))
+    sources = own.withColumn("nth", top).where("nth <= 5").select("image_id", "x", "y")
+    return shown(pipelines.run(own, sources, pipelines.PRESETS, 32, 31), "image_id", "pipeline", "score")
 
 
 @query("isolation_forest")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as Parquet in a folder of its own in the shared one, which goes when the driver ends; each row is computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/skyloom/kept-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session has ended: the folder is the cluster's to clear
+            return
