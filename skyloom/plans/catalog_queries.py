@@ -165,9 +165,17 @@ def survey_next_pixels(spark, sf_dir):
     return survey.next_pixels(survey.survey_pixels(spark, 16, 0.0, "ring"), visited, 25).select("pixel")
 
 
-@query("random_regions")
+MIXED = "((xor((xor(({x} * 1103515245 + 12345) & 2147483647, (({x} * 1103515245 + 12345) & 2147483647) >> 15) * 1664525 + 1013904223) & 2147483647, ((xor(({x} * 1103515245 + 12345) & 2147483647, (({x} * 1103515245 + 12345) & 2147483647) >> 15) * 1664525 + 1013904223) & 2147483647) >> 13) * 69069 + 1) & 2147483647) / 2147483648e0"
+
+
+@query("random_regions", f"""{duck("sources")}, d AS (SELECT i AS id, {MIXED.format(x="(i * 2 + 42)")} * 360 AS ra, degrees(asin(2 * ({MIXED.format(x="(i * 2 + 43)")}) - 1)) AS dec FROM range(300) t(i)),
+r AS (SELECT id AS region_id, ra, dec FROM d WHERE abs(degrees(asin(sin(radians(dec)) * sin(radians(27.12825)) + cos(radians(dec)) * cos(radians(27.12825)) * cos(radians(ra - 192.85948))))) >= 20 ORDER BY id LIMIT 100),
+n AS (SELECT r.region_id, count(*) AS n_sources, min(mag) AS brightest FROM r JOIN sources s ON {sep_sql("r.ra", "r.dec", "s.ra", "s.dec")} <= 10 GROUP BY 1)
+SELECT region_id, round(ra, 6) AS ra, round(dec, 6) AS dec, coalesce(n_sources, 0) AS n_sources, round(brightest, 6) AS brightest FROM r LEFT JOIN n USING (region_id)""")
 def random_regions(spark, sf_dir):
-    return shown(survey.random_regions(spark, 100))
+    """A hundred regions of ten degrees, and what each holds of the sources."""
+    regions = survey.random_regions(spark, 100, radius_arcmin=600.0)
+    return shown(survey.sources_in_regions(regions, relation(spark, sf_dir, "sources"), 600.0), "region_id", "ra", "dec", "n_sources", "brightest")
 
 
 @query("robust_noise_outliers", f"""{duck("sources")}, {robust_sql("sources", "region_id", "noise")}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.operators import evaluation, learning, outliers, population, resampling
-from skyloom.plans import report
+from skyloom.plans import detect, image_queries, report  # noqa: F401  image_queries registers SQL used here
 from skyloom.plans.catalog_queries import binned_sql
-from skyloom.plans.registry import query, shown
+from skyloom.plans.registry import ORACLE_SQL, query, shown
 from skyloom.plans.relations import duck, relation
 
 CMD = duck("cmd")
@@ -452,3 +452,23 @@ def normality_tests(spark, sf_dir):
 @query("rating_labels", f"""{ANOM}, r AS (SELECT seq, 1 + seq % 10 AS rating FROM anomalies) SELECT seq, CASE WHEN rating >= 8 THEN 'High' WHEN rating >= 5 THEN 'Moderate' WHEN rating >= 3 THEN 'Low' ELSE 'Very Low' END AS label FROM r""")
 def rating_labels(spark, sf_dir):
     return relation(spark, sf_dir, "anomalies").select("seq", report.confidence_label(1 + F.col("seq") % 10).alias("label"))
+
+
+#: The five detectors' own SQL, one subquery each.
+PARTS = {"lens": ("lens_scores", "image_id"), "morphology": ("morphology", "image_id"), "wavelet": ("wavelet_scores", "image_id"), "population": ("population_scores", "region_id")}
+FIELD = "substr('ANR', CAST(region_id AS INT) + 1, 1)"
+
+
+@query("ensemble_all", "WITH " + ", ".join(f"{d} AS (SELECT {key} AS region_id, {d}_score AS score FROM ({ORACLE_SQL[q]}))" for d, (q, key) in PARTS.items()) + f""", distribution AS (SELECT {FIELD} AS region_id, distribution_score AS score FROM ({ORACLE_SQL["distribution_scores"]})),
+s AS (SELECT region_id, {", ".join(f"coalesce({d}.score, 0) AS {d}" for d in (*PARTS, "distribution"))} FROM morphology {" ".join(f"FULL JOIN {d} USING (region_id)" for d in (*PARTS, "distribution") if d != "morphology")})
+SELECT region_id, {", ".join(f"round({d}, 4) AS {d}" for d in (*PARTS, "distribution"))}, round(greatest(0, least(1, {" + ".join(f"{evaluation.WEIGHTS[d]} * {d}" for d in (*PARTS, "distribution"))})), 4) AS ensemble_score, {" + ".join(f"({d} > 0.3)::BIGINT" for d in (*PARTS, "distribution"))} AS n_agreeing FROM s""")
+def ensemble_all(spark, sf_dir):
+    """Lens, morphology, wavelet, population and distribution detectors over three fields, as one matrix."""
+    tables = {
+        "image": relation(spark, sf_dir, "pixels").groupBy(F.col("image_id").alias("region_id"), "x", "y").agg(F.avg("v").alias("v")),
+        "positions": relation(spark, sf_dir, "companions").withColumn("region_id", F.col("region_id") % 3).withColumn("region_id", F.expr(FIELD)),
+        "cmd": relation(spark, sf_dir, "cmd"),
+    }
+    own = detect.DETECTORS | {"lens": ("image", lambda t: detect.lens_scores(t, 1.0, 0.02)), "wavelet": ("image", lambda t: detect.wavelet_scores(t, 1.5))}
+    found = evaluation.ensemble(evaluation.score_matrix(detect.scores(tables, detectors=own)))
+    return shown(found, "region_id", *PARTS, "distribution", "ensemble_score", "n_agreeing", digits=4)

@@ -56,14 +56,32 @@ def survey_pixels(spark: SparkSession, nside: int = 64, least_latitude: float =
     return out.withColumn("ord", key)
 
 
+def mixed(x: Column) -> Column:
+    """A number from 0 to 1 of a whole number, by integers below 2^31, as other engines can make it too."""
+    low = F.lit((1 << 31) - 1)
+    x = (x.cast("long") * 1103515245 + 12345).bitwiseAND(low)
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = (x * 1664525 + 1013904223).bitwiseAND(low)
+    x = x.bitwiseXOR(F.shiftright(x, 13))
+    return (x * 69069 + 1).bitwiseAND(low) / float(1 << 31)
+
+
 def random_regions(spark: SparkSession, n: int, least_latitude: float = 20.0, radius_arcmin: float = 3.0, seed: int = 42) -> DataFrame:
-    """n regions uniform on the sphere off the galactic plane, from hashes of a counter, so that reruns agree."""
+    """n regions uniform on the sphere off the galactic plane, from a mixed counter, so that reruns agree."""
     over = math.ceil(n / max(0.01, 1 - math.sin(math.radians(least_latitude))) * 1.5) + 64
-    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 53)) / float(1 << 53)
-    drawn = spark.range(over).select("id", (u(0) * 360).alias("ra"), F.degrees(F.asin(2 * u(1) - 1)).alias("dec"))
+    drawn = spark.range(over).select("id", (mixed(F.col("id") * 2 + seed) * 360).alias("ra"), F.degrees(F.asin(2 * mixed(F.col("id") * 2 + 1 + seed) - 1)).alias("dec"))
     return drawn.where(F.abs(galactic_lat(F.col("ra"), F.col("dec"))) >= least_latitude).orderBy("id").limit(n).select(F.col("id").alias("region_id"), "ra", "dec", F.lit(radius_arcmin).alias("radius_arcmin"))
 
 
+def sources_in_regions(regions: DataFrame, sources: DataFrame, radius_arcmin: float) -> DataFrame:
+    """regions with the number of sources within the radius and the brightest one's magnitude."""
+    from skyloom.operators.spatial import sky_join
+
+    near = sky_join(regions.select("region_id", "ra", "dec"), sources.select("ra", "dec", "mag"), radius_arcmin)
+    found = near.groupBy("region_id").agg(F.count("*").alias("n_sources"), F.min("mag_r").alias("brightest"))
+    return regions.join(found, "region_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+
+
 def regions_from_json(spark: SparkSession, path: str, radius_arcmin: float = 3.0) -> DataFrame:
     read = spark.read.schema("ra double, dec double, radius double").json(path, multiLine=True)
     return read.select("ra", "dec", F.coalesce("radius", F.lit(radius_arcmin)).alias("radius_arcmin"))
