@@ -283,6 +283,29 @@ def variability_from_stats(spark, sf_dir):
     return shown(variability.from_stats(stats), "source_id", "chi2_reduced", "eta", "amplitude", "is_variable", "n_outbursts")
 
 
-@query("lomb_scargle")
+PERIODS = """pt AS (SELECT source_id, band, mjd - min(mjd) OVER c AS t, mag, 1 / (magerr ** 2 + 1e-10) / sum(1 / (magerr ** 2 + 1e-10)) OVER c AS w, count(*) OVER c AS m FROM points WINDOW c AS (PARTITION BY source_id, band)),
+pw AS (SELECT *, mag - sum(w * mag) OVER (PARTITION BY source_id, band) AS q FROM pt WHERE m >= 10),
+pc AS (SELECT source_id, band, any_value(m) AS m, 1 / least(500, max(t) / 2) AS low, sum(w * q * q) AS yy, sum(w * t * t) - sum(w * t) ** 2 AS tt, least(10000, greatest(100, floor((10e0 - 1 / least(500, max(t) / 2)) * max(t) * 5)))::BIGINT AS n FROM pw GROUP BY 1, 2 HAVING max(t) >= 0.2 AND 1 / least(500, max(t) / 2) < 10 AND sum(w * q * q) > 0),
+pf AS (SELECT source_id, band, yy, low + k * (10e0 - low) / (n - 1) AS f FROM pc, LATERAL (SELECT unnest(range(n)) AS k)),
+ps AS (SELECT source_id, band, f, any_value(yy) AS yy, sum(w * cos(2 * pi() * f * t)) AS c, sum(w * sin(2 * pi() * f * t)) AS s, sum(w * q * cos(2 * pi() * f * t)) AS yc, sum(w * q * sin(2 * pi() * f * t)) AS ys,
+  sum(w * cos(2 * pi() * f * t) ** 2) AS cc, sum(w * sin(2 * pi() * f * t) ** 2) AS ss, sum(w * cos(2 * pi() * f * t) * sin(2 * pi() * f * t)) AS cs FROM pf JOIN pw USING (source_id, band) GROUP BY 1, 2, 3),
+pd AS (SELECT source_id, band, f, yy, yc, ys, cc - c * c AS cc, ss - s * s AS ss, cs - c * s AS cs FROM ps),
+pb AS (SELECT source_id, band, arg_max(f, p) AS f, greatest(0, least(1, max(p))) AS z FROM (SELECT *, CASE WHEN cc * ss - cs * cs > 1e-12 THEN (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) ELSE 0 END AS p FROM pd) GROUP BY 1, 2),
+pg AS (SELECT source_id, band, 1 / f AS best_period, z AS best_power, 1 - (1 - (1 - z) ** ((m - 3) / 2e0)) * exp(-sqrt(2e0 / (m - 1)) * exp(lgamma((m - 1) / 2e0 + 0.5) - lgamma((m - 1) / 2e0)) * 10 * sqrt(4 * pi() * greatest(tt, 0)) * (1 - z) ** ((m - 4) / 2e0) * sqrt(greatest(0.5 * (m - 1) * z, 0))) AS fap FROM pb JOIN pc USING (source_id, band)),
+pr AS (SELECT source_id, band, best_period, best_power, least(1, fap) AS fap, fap < 0.01 AS is_periodic FROM pg)"""
+
+
+@query("lomb_scargle", f"""{duck("points")}, {PERIODS} SELECT source_id, band, round(best_period, 5) AS best_period, round(best_power, 5) AS best_power, round(fap, 5) AS fap, is_periodic FROM pr""")
 def lomb_scargle(spark, sf_dir):
-    return shown(variability.periodograms(relation(spark, sf_dir, "points")), "source_id", "band", "best_period", "best_power", "fap", "is_periodic")
+    return shown(variability.periodograms(relation(spark, sf_dir, "points")), "source_id", "band", "best_period", "best_power", "fap", "is_periodic", digits=5)
+
+
+@query("periodic_classes", f"""{CLASS_SQL}, {PERIODS}, x AS (SELECT z.*, best_period, coalesce(is_periodic, false) AS is_periodic, coalesce(best_power, 0) AS best_power, coalesce(fap, 1) AS fap FROM z LEFT JOIN pr USING (source_id, band))
+SELECT source_id, band, round(best_period, 5) AS best_period, is_periodic, CASE WHEN NOT chi2_reduced > 3 THEN 'non_variable' WHEN is_periodic AND best_period < 1 AND amplitude > 0.3 THEN 'eclipsing_binary' WHEN is_periodic AND best_period > 100 THEN 'long_period_variable' WHEN is_periodic THEN 'periodic_pulsator'
+ WHEN down > 0 AND up = 0 THEN 'transient' WHEN up + down > 0 AND up <= 3 THEN 'eruptive' WHEN amplitude > 0.5 AND eta < 1.5 THEN 'agn_like' ELSE 'unclassified_variable' END AS class,
+ round(least(1, 0.5 * least(1, log10(greatest(chi2_reduced, 1)) / 2) + 0.3 * best_power * CASE WHEN fap < 0.01 THEN 1 ELSE 0.3 END + 0.2 * least(1, (up + down) / 5)), 5) AS score FROM x""")
+def periodic_classes(spark, sf_dir):
+    """Classes and scores of variable sources with the periods of their best band."""
+    points = relation(spark, sf_dir, "points")
+    found = variability.classify(points, periods=variability.periodograms(points))
+    return shown(found, "source_id", "band", "best_period", "is_periodic", "class", "score", digits=5)
