@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluation, learning, outliers, population, resampling
+from skyloom.operators import evaluation, evolution, learning, outliers, population, resampling
 from skyloom.plans import detect, image_queries, report  # noqa: F401  image_queries registers SQL used here
-from skyloom.plans.catalog_queries import binned_sql
+from skyloom.plans.catalog_queries import MIXED, binned_sql
 from skyloom.plans.registry import ORACLE_SQL, query, shown
 from skyloom.plans.relations import duck, relation
 
@@ -472,3 +472,40 @@ def ensemble_all(spark, sf_dir):
     own = detect.DETECTORS | {"lens": ("image", lambda t: detect.lens_scores(t, 1.0, 0.02)), "wavelet": ("image", lambda t: detect.wavelet_scores(t, 1.5))}
     found = evaluation.ensemble(evaluation.score_matrix(detect.scores(tables, detectors=own)))
     return shown(found, "region_id", *PARTS, "distribution", "ensemble_score", "n_agreeing", digits=4)
+
+
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in evolution.NAMES) + "]"
+METHODS_SQL = "[" + ", ".join(f"'{n}'" for n in evolution.SCORE_METHODS) + "]"
+
+
+def unit_sql(turn: int | str, place: str, k: int | str) -> str:
+    return "(" + MIXED.format(x=f"((({turn} * 4096 + {place}) * {evolution.DRAWS} + {k}))") + ")"
+
+
+def operation_sql(turn: int, place: str, k: int) -> str:
+    return f"{{'name': {NAMES_SQL}[floor({unit_sql(turn, place, k)} * {len(evolution.NAMES)})::BIGINT + 1], 'a': {unit_sql(turn, place, k + 1)}, 'b': {unit_sql(turn, place, k + 2)}}}"
+
+
+def generation_sql(turn: int) -> str:
+    u = lambda k: unit_sql(turn, "place", k)
+    at = lambda k: f"floor({u(k)} * len(ops))::BIGINT"
+    move = lambda v, k: f"greatest(0e0, least(1e0, {v} + CASE WHEN {unit_sql(turn, 'place', '24 + 6 * (i - 1)')} < 0.2 THEN ({unit_sql(turn, 'place', f'{k} + 6 * (i - 1)')} + {unit_sql(turn, 'place', f'{k + 1} + 6 * (i - 1)')} - 1) * 0.25 ELSE 0 END))"
+    return f"""{ANOM}, ge AS (SELECT p AS genome_id, list_slice([{", ".join(operation_sql(42, "p", 1 + 3 * i) for i in range(5))}], 1, 2 + floor({unit_sql(42, "p", 0)} * 4)::BIGINT) AS ops, {METHODS_SQL}[floor({unit_sql(42, "p", 40)} * 3)::BIGINT + 1] AS method, fitness FROM range(30) t(p) JOIN (SELECT seq % 30 AS p, round(avg(score), 9) AS fitness FROM anomalies GROUP BY 1) USING (p)),
+el AS (SELECT row_number() OVER (ORDER BY fitness DESC, genome_id) - 1 AS genome_id, ops, method FROM ge QUALIFY row_number() OVER (ORDER BY fitness DESC, genome_id) <= 2),
+wi AS (SELECT place, e < 3 AS first, arg_max({{'ops': ops, 'method': method}}, (fitness, -genome_id)) AS g FROM (SELECT place, e, floor({unit_sql(turn, "place", "e")} * 30)::BIGINT AS genome_id FROM range(2, 30) a(place), range(6) b(e)) JOIN ge USING (genome_id) GROUP BY 1, 2),
+pa AS (SELECT a.place, a.g.ops AS x, b.g.ops AS y, a.g.method AS method, least(len(a.g.ops), len(b.g.ops)) AS short FROM wi a JOIN wi b ON a.place = b.place AND a.first AND NOT b.first),
+c1 AS (SELECT place, method, CASE WHEN short > 1 THEN list_slice(list_concat(list_slice(x, 1, 1 + floor({u(10)} * (short - 1))::BIGINT), list_slice(y, 2 + floor({u(10)} * (short - 1))::BIGINT, 99)), 1, 5) ELSE x END AS ops FROM pa),
+c2 AS (SELECT place, method, CASE WHEN {u(11)} < 0.2 THEN list_concat(list_slice(ops, 1, {at(12)}), [{operation_sql(turn, "place", 13)}], list_slice(ops, {at(12)} + 2, 99)) ELSE ops END AS ops FROM c1),
+c3 AS (SELECT place, method, CASE WHEN {u(16)} < 0.1 AND len(ops) < 5 THEN list_concat(list_slice(ops, 1, floor({u(17)} * (len(ops) + 1))::BIGINT), [{operation_sql(turn, "place", 18)}], list_slice(ops, floor({u(17)} * (len(ops) + 1))::BIGINT + 1, 99)) ELSE ops END AS ops FROM c2),
+c4 AS (SELECT place, method, CASE WHEN {u(21)} < 0.06 AND len(ops) > 2 THEN list_concat(list_slice(ops, 1, {at(22)}), list_slice(ops, {at(22)} + 2, 99)) ELSE ops END AS ops FROM c3),
+c5 AS (SELECT place, CASE WHEN {u(60)} < 0.06 THEN {METHODS_SQL}[floor({u(61)} * 3)::BIGINT + 1] ELSE method END AS method, i, ops[i].name AS name, {move("ops[i].a", 25)} AS a, {move("ops[i].b", 27)} AS b FROM c4, LATERAL (SELECT unnest(range(1, len(ops) + 1)) AS i))
+SELECT genome_id, method, i AS nth, ops[i].name AS name, round(ops[i].a, 6) AS a, round(ops[i].b, 6) AS b FROM el, LATERAL (SELECT unnest(range(1, len(ops) + 1)) AS i) UNION ALL SELECT place, method, i, name, round(a, 6), round(b, 6) FROM c5"""
+
+
+@query("pipeline_generation", generation_sql(7))
+def pipeline_generation(spark, sf_dir):
+    """The generation that follows thirty pipelines, of which the anomalies' mean scores are the fitness."""
+    fitness = relation(spark, sf_dir, "anomalies").groupBy((F.col("seq") % 30).cast("long").alias("genome_id")).agg(F.round(F.avg("score"), 9).alias("fitness"))
+    found = evolution.next_generation(evolution.first_generation(spark, 30).join(fitness, "genome_id"), 30, 7)
+    each = found.select("genome_id", "method", F.posexplode("ops").alias("nth", "o"))
+    return shown(each.select("genome_id", "method", (F.col("nth") + 1).alias("nth"), "o.name", "o.a", "o.b"))
