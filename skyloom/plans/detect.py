@@ -24,19 +24,19 @@ def _named(scores: DataFrame, score: str) -> DataFrame:
     return scores.select(F.col("image_id").alias("region_id"), F.col(score).alias("score"))
 
 
-def lens_scores(t: dict[str, DataFrame], pixel_scale: float | None = None, threshold: float = 3.0) -> DataFrame:
+def lens_scores(t: dict[str, DataFrame], pixel_scale: float | None = None, threshold: float = 3.0, size: tuple[int, int] | None = None) -> DataFrame:
     image = t["image"].withColumnRenamed("region_id", "image_id")
-    return _named(lens.detect(image, *_size(image), pixel_scale, threshold)["scores"], "lens_score")
+    return _named(lens.detect(image, *(size or _size(image)), pixel_scale, threshold)["scores"], "lens_score")
 
 
-def morphology_scores(t: dict[str, DataFrame]) -> DataFrame:
+def morphology_scores(t: dict[str, DataFrame], size: tuple[int, int] | None = None) -> DataFrame:
     image = t["image"].withColumnRenamed("region_id", "image_id")
-    return _named(images.morphology(image, *_size(image)), "morphology_score")
+    return _named(images.morphology(image, *(size or _size(image))), "morphology_score")
 
 
-def wavelet_scores(t: dict[str, DataFrame], threshold: float = 3.0) -> DataFrame:
+def wavelet_scores(t: dict[str, DataFrame], threshold: float = 3.0, size: tuple[int, int] | None = None) -> DataFrame:
     image = t["image"].withColumnRenamed("region_id", "image_id")
-    planes = spatial.kept(stencils.wavelet_planes(image, *_size(image)))
+    planes = spatial.kept(stencils.wavelet_planes(image, *(size or _size(image))))
     noise = spatial.kept(stencils.wavelet_noise(planes))
     regions = spatial.kept(stencils.wavelet_regions(planes, noise, threshold))
     return _named(stencils.wavelet_scores(noise, regions, stencils.wavelet_objects(regions)), "wavelet_score")

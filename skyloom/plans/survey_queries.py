@@ -469,7 +469,8 @@ def ensemble_all(spark, sf_dir):
         "positions": relation(spark, sf_dir, "companions").withColumn("region_id", F.col("region_id") % 3).withColumn("region_id", F.expr(FIELD)),
         "cmd": relation(spark, sf_dir, "cmd"),
     }
-    own = detect.DETECTORS | {"lens": ("image", lambda t: detect.lens_scores(t, 1.0, 0.02)), "wavelet": ("image", lambda t: detect.wavelet_scores(t, 1.5))}
+    size = (32, 31)  # whole grids, whatever pixels the table has
+    own = detect.DETECTORS | {"lens": ("image", lambda t: detect.lens_scores(t, 1.0, 0.02, size)), "morphology": ("image", lambda t: detect.morphology_scores(t, size)), "wavelet": ("image", lambda t: detect.wavelet_scores(t, 1.5, size))}
     found = evaluation.ensemble(evaluation.score_matrix(detect.scores(tables, detectors=own)))
     return shown(found, "region_id", *PARTS, "distribution", "ensemble_score", "n_agreeing", digits=4)
 
