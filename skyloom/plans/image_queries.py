@@ -358,13 +358,13 @@ GRID = "ascii(image_id) % 7 * 1.7e0 AS gx, ascii(image_id) % 5 * 2.3e0 AS gy, 0.
 
 @query("mosaic_coadd", f"""{PIX}, fp AS (SELECT image_id, v, least(gx + x * dx, gx + (x + 1) * dx) / 1.5e0 AS xa, greatest(gx + x * dx, gx + (x + 1) * dx) / 1.5e0 AS xb, least(gy + y * dy + 4, gy + (y + 1) * dy + 4) / 1.5e0 AS ya, greatest(gy + y * dy + 4, gy + (y + 1) * dy + 4) / 1.5e0 AS yb FROM im JOIN (SELECT image_id, {GRID} FROM (SELECT DISTINCT image_id FROM im)) USING (image_id)),
 ov AS (SELECT image_id, i, j, v / ((xb - xa) * (yb - ya)) AS bright, (least(xb, i + 1) - greatest(xa, i)) * (least(yb, j + 1) - greatest(ya, j)) AS area FROM fp, LATERAL (SELECT unnest(range(floor(xa)::BIGINT, ceil(xb)::BIGINT)) AS i), LATERAL (SELECT unnest(range(floor(ya)::BIGINT, ceil(yb)::BIGINT)) AS j))
-SELECT i AS x, j AS y, round(sum(bright * area), 5) AS flux, round(sum(area), 5) AS weight, round(sum(bright * area) / sum(area), 5) AS mean, count(DISTINCT image_id) AS n_images FROM ov WHERE area > 1e-9 GROUP BY 1, 2""")
+SELECT i AS x, j AS y, round(sum(bright * area), 8) AS flux, round(sum(area), 8) AS weight, round(sum(bright * area) / sum(area), 8) AS mean, count(DISTINCT image_id) AS n_images FROM ov WHERE area > 1e-9 GROUP BY 1, 2""")
 def mosaic_coadd(spark, sf_dir):
     """Three images of different pixels, one axis of some running backwards, on one grid."""
     own = image(spark, sf_dir)
     grids = own.select("image_id").distinct().selectExpr("image_id", *GRID.split(", "))
     found = images.coadd(own, grids, 0.0, -4.0, 1.5)
-    return shown(found.where("weight > 1e-9"), "x", "y", "flux", "weight", "mean", "n_images", digits=5)
+    return shown(found.where("weight > 1e-9"), "x", "y", "flux", "weight", "mean", "n_images", digits=8)
 
 
 @query("mask_algebra", f"""{PIX}, u AS (SELECT image_id, x, y, max(a) AS a, max(b) AS b FROM (SELECT image_id, x, y, 1 AS a, 0 AS b FROM im WHERE v > 27 UNION ALL SELECT image_id, x, y, 0, 1 FROM im WHERE x % 2 = 0) GROUP BY 1, 2, 3) SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, abs(a - b)::BIGINT AS mask FROM u""")
