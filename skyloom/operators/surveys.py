@@ -137,6 +137,22 @@ def pixel_scale(cdelt: Column) -> Column:
     return F.abs(cdelt) * 3600
 
 
+def _top_means(results: DataFrame, part: int = 5, buckets: int = 1000) -> DataFrame:
+    """The mean of each genome's highest part of scores, exact: whole buckets of scores count by their sums, and the one bucket that the limit cuts by its distinct scores."""
+    high = F.col("score").isNotNull()
+    own = results.where(high).select("genome_id", "score", F.greatest(F.lit(0), F.least(F.floor(F.col("score") * buckets), F.lit(buckets))).alias("bucket"))
+    w = Window.partitionBy("genome_id")
+    down = lambda c: w.orderBy(F.col(c).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    full = own.groupBy("genome_id", "bucket").agg(F.count("*").alias("m"), F.sum("score").alias("total"))
+    full = full.withColumn("before", F.coalesce(F.sum("m").over(down("bucket")), F.lit(0))).withColumn("most", F.greatest(F.lit(1), F.floor(F.sum("m").over(w) / part)))
+    cut = full.where((F.col("before") < F.col("most")) & (F.col("before") + F.col("m") > F.col("most"))).select("genome_id", "bucket", (F.col("most") - F.col("before")).alias("need"))
+    tail = own.join(cut, ["genome_id", "bucket"]).groupBy("genome_id", "need", "score").agg(F.count("*").alias("m"))
+    take = F.greatest(F.lit(0), F.least(F.col("m"), F.col("need") - F.coalesce(F.sum("m").over(down("score")), F.lit(0))))
+    tail = tail.withColumn("take", take).select("genome_id", F.col("take").alias("m"), (F.col("take") * F.col("score")).alias("total"))
+    whole = full.where(F.col("before") + F.col("m") <= F.col("most")).select("genome_id", "m", "total")
+    return whole.unionByName(tail).groupBy("genome_id").agg((F.sum("total") / F.sum("m")).alias("anomaly"))
+
+
 def fitness_components(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """anomaly, significance and fitness of each genome from (genome_id, score, novelty, diversity, recovery), a row an image.
 
@@ -144,10 +160,8 @@ def fitness_components(results: DataFrame, weights: dict[str, float] | None = No
     of it, 1 at most (anomaly itself for a single score).
     """
     share = {"anomaly": 0.35, "significance": 0.25, "novelty": 0.15, "diversity": 0.1, "recovery": 0.15} | (weights or {})
-    w = Window.partitionBy("genome_id")
-    ranked = results.withColumn("nth", F.row_number().over(w.orderBy(F.col("score").desc()))).withColumn("n", F.count("*").over(w))
-    top = F.avg(F.when(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5)), F.col("score")))
-    sums = ranked.groupBy("genome_id").agg(top.alias("anomaly"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("novelty", "diversity", "recovery")])
+    sums = results.groupBy("genome_id").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("novelty", "diversity", "recovery")])
+    sums = sums.join(_top_means(results), "genome_id", "left")
     own = F.when(F.col("n") > 1, F.least(F.col("mean") / F.greatest("std", F.lit(0.01)) / 5, F.lit(1.0))).otherwise(F.col("anomaly"))
     sums = sums.withColumn("significance", own)
     return sums.withColumn("fitness", sum((v * F.col(k) for k, v in share.items()), F.lit(0.0))).drop("mean", "std", "n")

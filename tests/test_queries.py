@@ -13,8 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
+def duck(sf, tmp_path_factory):
+    con = duckdb.connect(config={"temp_directory": str(tmp_path_factory.mktemp("duckdb")), "max_temp_directory_size": "4GB"})
     for t in TABLES:
         path = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
