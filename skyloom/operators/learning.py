@@ -70,10 +70,32 @@ def token_usage(calls: DataFrame) -> DataFrame:
     return out.select("purpose", "provider", F.when(every, F.col("n_paid")).otherwise(F.col("n_all")).alias("n_calls"), F.when(every, F.col("t_paid")).otherwise(F.col("t_all")).alias("tokens"))
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join in which null keys are equal."""
+    other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
+    rule = [left[c].eqNullSafe(other[f"_{c}"]) for c in on]
+    return left.join(other, rule, how).drop(*[f"_{c}" for c in on])
+
+
+def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column], width: int = 1 << 16) -> DataFrame:
+    """rows with the sums of all rows of their key up to and with their own, in order of a whole number that is unique in the key.
+
+    Sums go by (key, range of width numbers) first, so a hot key is spread over tasks: only the ranges' sums meet.
+    """
+    own = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumns({f"_{c}": e for c, e in sums.items()})
+    parts = own.groupBy(*by, "_range").agg(*[F.sum(f"_{c}").alias(f"_b{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_b{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in sums])
+    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = null_safe(own.withColumns({f"_{c}": F.sum(f"_{c}").over(within) for c in sums}), parts, [*by, "_range"], "inner")
+    return out.select(*rows.columns, *[(F.col(f"_{c}") + F.col(f"_b{c}")).alias(c) for c in sums])
+
+
 def within_budget(calls: DataFrame, budget: int) -> DataFrame:
     """Calls, in order of seq, as long as the paid tokens before them are under the budget."""
-    spent = F.sum(F.when(F.col("cached"), 0).otherwise(F.col("tokens"))).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return calls.withColumn("spent", F.coalesce(spent, F.lit(0))).where(F.col("spent") < budget)
+    paid = F.when(F.col("cached"), 0).otherwise(F.col("tokens"))
+    sums = running_sums(calls.withColumn("_all", F.lit(0)), ["_all"], "seq", {"spent": paid})
+    return sums.withColumn("spent", F.col("spent") - paid).where(F.col("spent") < budget).drop("_all")
 
 
 def consensus(votes: DataFrame, by: str) -> DataFrame:

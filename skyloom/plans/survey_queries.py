@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyloom.operators import evaluation, evolution, learning, outliers, population, resampling
@@ -9,6 +11,8 @@ from skyloom.plans import detect, image_queries, report  # noqa: F401  image_que
 from skyloom.plans.catalog_queries import MIXED, binned_sql
 from skyloom.plans.registry import ORACLE_SQL, query, shown
 from skyloom.plans.relations import duck, relation
+from skyloom.sources.cache import CATALOG, Cache, keyed
+from skyloom.sources.storage import shared_folder
 
 CMD = duck("cmd")
 
@@ -408,13 +412,15 @@ def rationales(spark, sf_dir):
 SELECT region_id, (l + w)::BIGINT AS total, ((l > 0)::INT + (w > 0)::INT)::BIGINT AS n_kinds FROM g""")
 def sub_detection_counts(spark, sf_dir):
     c = F.col
-    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.collect_list(F.when(c("detector") == "lens", c("seq"))).alias("arcs"), F.collect_list(F.when((c("detector") == "wavelet") & (c("score") > 0.8), c("seq"))).alias("objects"))
-    return shown(evaluation.sub_detections(nested, ["arcs", "objects"]).withColumn("n_kinds", F.size("counts")), "region_id", "total", "n_kinds")
+    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id", "mjd").agg(F.collect_list(F.when(c("detector") == "lens", c("seq"))).alias("arcs"), F.collect_list(F.when((c("detector") == "wavelet") & (c("score") > 0.8), c("seq"))).alias("objects"))
+    found = evaluation.sub_detections(nested, ["arcs", "objects"]).select("region_id", "total", F.explode_outer("counts").alias("kind", "n"))
+    kinds = found.groupBy("region_id", "kind").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return shown(kinds.groupBy("region_id").agg(F.sum("n").alias("total"), F.count("kind").alias("n_kinds")), "region_id", "total", "n_kinds")
 
 
 @query("finding_anomalies_unnested", f"""{ANOM} SELECT region_id, seq, detector FROM anomalies""")
 def finding_anomalies_unnested(spark, sf_dir):
-    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id").agg(F.collect_list(F.struct("seq", "detector")).alias("anomalies"))
+    nested = relation(spark, sf_dir, "anomalies").groupBy("region_id", "mjd").agg(F.collect_list(F.struct("seq", "detector")).alias("anomalies"))
     kept = nested.select("region_id", F.to_json("anomalies").alias("body")).select("region_id", F.from_json("body", "array<struct<seq: bigint, detector: string>>").alias("anomalies"))
     return kept.select("region_id", F.explode("anomalies").alias("a")).select("region_id", "a.seq", "a.detector")
 
@@ -510,3 +516,22 @@ def pipeline_generation(spark, sf_dir):
     found = evolution.next_generation(evolution.first_generation(spark, 30).join(fitness, "genome_id"), 30, 7)
     each = found.select("genome_id", "method", F.posexplode("ops").alias("nth", "o"))
     return shown(each.select("genome_id", "method", (F.col("nth") + 1).alias("nth"), "o.name", "o.a", "o.b"))
+
+
+REGIONS = "rg AS (SELECT n_nationkey AS region_id, n_nationkey * 14.5e0 AS ra, n_nationkey * 3.25e0 - 40 AS dec FROM nation)"
+
+
+@query("catalog_cache", f"""{duck("sources")}, {REGIONS}, ky AS (SELECT region_id, substr(sha256('survey:' || printf('%.6f', ra) || ':' || printf('%.6f', dec) || ':3.0000:__catalog__'), 1, 16) AS key FROM rg),
+ro AS (SELECT region_id, source_id, mag FROM sources WHERE region_id % 2 = 0 AND (region_id % 4 <> 0 OR mag < 18)), ct AS (SELECT region_id, count(*) AS n_rows, max(mag) AS faintest FROM ro GROUP BY 1)
+SELECT region_id::BIGINT AS region_id, key, region_id % 2 = 0 AS is_hit, CASE WHEN region_id % 2 = 0 THEN coalesce(n_rows, 0) END AS n_rows, round(faintest, 6) AS faintest FROM ky LEFT JOIN ct USING (region_id)""")
+def catalog_cache(spark, sf_dir):
+    """Catalogs of every other region are cached, those of every fourth then replaced by their bright sources; all regions are asked for."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    regions = nation.selectExpr("CAST(n_nationkey AS BIGINT) AS region_id", "'survey' AS source", "n_nationkey * 14.5D AS ra", "n_nationkey * 3.25D - 40 AS dec", "3D AS radius", f"'{CATALOG}' AS band")
+    asked = keyed(regions)
+    own = relation(spark, sf_dir, "sources").select("region_id", "source_id", "mag").join(asked.select("region_id", "key"), "region_id").drop("region_id")
+    cache = Cache(spark, f"{shared_folder(spark)}/skyloom-cache/{uuid.uuid4().hex}")
+    cache.put("all", asked.where("region_id % 2 = 0"), own)
+    cache.put("bright", asked.where("region_id % 4 = 0"), own.where("mag < 18"))
+    found = cache.get(asked).groupBy("key").agg(F.max("mag").alias("faintest"))
+    return shown(cache.lookup(asked).join(found, "key", "left"), "region_id", "key", "is_hit", "n_rows", "faintest")

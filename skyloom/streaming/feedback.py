@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.learning import null_safe, running_sums
+
 #: Answers between two versions, and the least of each kind that a first one needs.
 INTERVAL, LEAST = 10, 5
 SUMS = ["n", "n_pos", "n_neg", "s_pos", "s_neg", "squares"]
 
 
-def _same(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A join in which null keys are equal."""
-    other = right.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns])
-    rule = [left[c].eqNullSafe(other[f"_{c}"]) for c in on]
-    return left.join(other, rule, how).drop(*[f"_{c}" for c in on])
-
-
-def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column], width: int = 1 << 16) -> DataFrame:
-    """rows with the sums of all rows of their key up to and with their own, in order of a whole number that is unique in the key.
-
-    Sums go by (key, range of width numbers) first, so a hot key is spread over tasks: only the ranges' sums meet.
-    """
-    own = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumns({f"_{c}": e for c, e in sums.items()})
-    parts = own.groupBy(*by, "_range").agg(*[F.sum(f"_{c}").alias(f"_b{c}") for c in sums])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_b{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in sums])
-    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _same(own.withColumns({f"_{c}": F.sum(f"_{c}").over(within) for c in sums}), parts, [*by, "_range"], "inner")
-    return out.select(*rows.columns, *[(F.col(f"_{c}") + F.col(f"_b{c}")).alias(c) for c in sums])
-
-
 def versions(feedback: DataFrame, by: list[str], before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Versions that rows (by, seq, score, is_interesting) bring, and the state after them, given the state before.
 
@@ -45,12 +26,12 @@ def versions(feedback: DataFrame, by: list[str], before: DataFrame | None = None
     so_far = running_sums(rows, by, "seq", kinds)
     if before is not None:
         past = before.select(*by, *[F.col(c).alias(f"p_{c}") for c in SUMS], F.col("first").alias("p_first"))
-        so_far = _same(so_far, past, by, "left").select(*rows.columns, *[(F.col(c) + F.coalesce(f"p_{c}", F.lit(0))).alias(c) for c in SUMS], "p_first")
+        so_far = null_safe(so_far, past, by, "left").select(*rows.columns, *[(F.col(c) + F.coalesce(f"p_{c}", F.lit(0))).alias(c) for c in SUMS], "p_first")
     else:
         so_far = so_far.withColumn("p_first", F.lit(None).cast("long"))
     ready = (F.col("n") >= INTERVAL) & (F.col("n_pos") >= LEAST) & (F.col("n_neg") >= LEAST)
     firsts = so_far.groupBy(*by).agg(F.coalesce(F.max("p_first"), F.min(F.when(ready, F.col("n")))).alias("first"), F.max_by(F.struct(*SUMS), "n").alias("last"))
-    due = _same(so_far, firsts.select(*by, "first"), by, "inner").where((F.col("n") >= F.col("first")) & ((F.col("n") - F.col("first")) % INTERVAL == 0))
+    due = null_safe(so_far, firsts.select(*by, "first"), by, "inner").where((F.col("n") >= F.col("first")) & ((F.col("n") - F.col("first")) % INTERVAL == 0))
     mean = (F.col("s_pos") + F.col("s_neg")) / F.col("n")
     found = due.select(
         *by, ((F.col("n") - F.col("first")) / INTERVAL + 1).cast("long").alias("version"), "seq", F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"),
@@ -59,7 +40,7 @@ def versions(feedback: DataFrame, by: list[str], before: DataFrame | None = None
     )
     after = firsts.select(*by, "last.*", "first")
     if before is not None:
-        after = after.unionByName(_same(before, firsts.select(*by), by, "left_anti").select(*after.columns))
+        after = after.unionByName(null_safe(before, firsts.select(*by), by, "left_anti").select(*after.columns))
     return found, after
 
 
