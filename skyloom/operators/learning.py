@@ -126,11 +126,18 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def novelty(items: DataFrame, references: DataFrame, id_col: str = "vec_id", vec: str = "vec") -> DataFrame:
-    """Sigmoid of the least distance to a set of references less three; the references are a bounded history, so they are broadcast."""
-    other = references.select(F.col(id_col).alias("ref_id"), F.col(vec).cast("array<double>").alias("ref"))
-    near = items.select(id_col, F.col(vec).cast("array<double>").alias("v")).join(F.broadcast(other), F.col(id_col) != F.col("ref_id"))
-    least = near.groupBy(id_col).agg(F.min(euclidean(F.col("v"), F.col("ref"))).alias("distance"))
+def novelty(items: DataFrame, references: DataFrame, id_col: str = "vec_id", vec: str = "vec", block: int = 256) -> DataFrame:
+    """Sigmoid of the least distance to the references (an item's own row left out) less three.
+
+    References of any number are dealt by hash into blocks of about so many, and each item meets each block once by its number.
+    """
+    blocks = max(1, -(-references.count() // block))
+    own = references.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"), F.struct(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).alias("_ref"))
+    held = own.groupBy("_block").agg(F.collect_list("_ref").alias("_refs"))
+    each = items.select(id_col, F.col(vec).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    others = F.filter("_refs", lambda r: r["id"] != F.col(id_col))
+    near = each.join(held, "_block").select(id_col, F.array_min(F.transform(others, lambda r: euclidean(F.col("v"), r["v"]))).alias("d"))
+    least = near.groupBy(id_col).agg(F.min("d").alias("distance")).where(F.col("distance").isNotNull())
     return least.withColumn("novelty", 1 / (1 + F.exp(-(F.col("distance") - 3))))
 
 
