@@ -203,10 +203,11 @@ def overdensities(density: DataFrame, by: list[str], grid: int, sigma: float = 3
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("significance").desc(), "i", "j"))).where(F.col("rank") <= most)
 
 
-def streams(catalog: DataFrame, least: int = 8, tries: int = 100, tolerance: float = 0.5, seed: int = 42, by: str = "region_id") -> DataFrame:
+def streams(catalog: DataFrame, least: int = 8, tries: int = 100, tolerance: float = 0.5, seed: int = 42, by: str = "region_id", parts: int = 32) -> DataFrame:
     """Lines in position and motion by random pairs: the pair with most sources near its line, where that is least or more.
 
-    Pairs are drawn by a hash of the source's id; every source meets the region's pairs, at most tries.
+    Pairs are drawn by a hash of the source's id; every source meets the region's pairs, at most tries,
+    of which each of so many parts of a region has its copy, so a large region is no single task.
     """
     span = {c: (F.avg(c).alias(f"m_{c}"), F.greatest(F.stddev_pop(c), F.lit(1e-10)).alias(f"s_{c}")) for c in ("ra", "dec", "pmra", "pmdec")}
     unit = catalog.join(catalog.groupBy(by).agg(*[x for v in span.values() for x in v]), by)
@@ -218,7 +219,8 @@ def streams(catalog: DataFrame, least: int = 8, tries: int = 100, tolerance: flo
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     lines = ends.select(by, "pair", a.alias("a"), way.alias("way")).withColumn("norm", dot(F.col("way"), F.col("way"))).where("norm > 1e-12")
     off = F.zip_with(F.array(*axes), F.col("a"), lambda x, y: x - y)
-    near = unit.join(lines, by).withColumn("off", off).withColumn("r2", dot(F.col("off"), F.col("off")) - F.pow(dot(F.col("off"), F.col("way")), 2) / F.col("norm"))
+    spread = unit.withColumn("_part", F.pmod(F.xxhash64("source_id"), F.lit(parts)))
+    near = spread.join(lines.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), [by, "_part"]).drop("_part").withColumn("off", off).withColumn("r2", dot(F.col("off"), F.col("off")) - F.pow(dot(F.col("off"), F.col("way")), 2) / F.col("norm"))
     counts = near.where(F.col("r2") < tolerance * tolerance).groupBy(by, "pair").agg(F.count("*").alias("n_members"))
     best = counts.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(F.col("n_members").desc(), "pair"))).where("nth = 1")
     return best.where(F.col("n_members") >= least).select(by, "pair", "n_members")

@@ -21,19 +21,26 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("band"), F.col("ts").cast("timestamp").alias("ts"), (15 + F.col("value") / 100).alias("mag"), F.lit(0.1).alias("magerr"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives until its input ends; offsets, state and result lie in the shared folder."""
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives until its input ends; offsets, state and result lie in the shared folder.
+
+    In update mode, which drops state by the watermark, a row of keys is as the last batch that changed it left it.
+    """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/skyloom-streams/{uuid.uuid4().hex}"
     put = (lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")) if mode == "complete" else (lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     writer = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("now")).select(*keys, "now.*")
 
 
 @query("stream_daily_brightness", """SELECT user_id AS source_id, event_type AS band, epoch(date_trunc('day', ts))::BIGINT AS day, count(*) AS n, round(avg(15 + value / 100), 6) AS mean_mag, round(max(15 + value / 100) - min(15 + value / 100), 6) AS amplitude FROM events GROUP BY ALL""")
 def stream_daily_brightness(spark, sf_dir):
-    found = drained(survey.windowed_brightness(points(spark, sf_dir)), "complete")
+    found = drained(survey.windowed_brightness(points(spark, sf_dir)), "update", ["source_id", "band", "start"])
     return shown(found.withColumn("day", F.unix_seconds("start")), "source_id", "band", "day", "n", "mean_mag", "amplitude")
 
 
