@@ -61,12 +61,13 @@ def stream_outbursts(spark, sf_dir):
 @query("stream_model_versions", f"""{FEED}, so AS (SELECT detector, seq, count(*) OVER w AS n, count(*) FILTER (good) OVER w AS n_pos, count(*) FILTER (NOT good) OVER w AS n_neg, sum(score) FILTER (good) OVER w AS s_pos, sum(score) FILTER (NOT good) OVER w AS s_neg, sum(score * score) OVER w AS sq
  FROM f WHERE score IS NOT NULL AND good IS NOT NULL WINDOW w AS (PARTITION BY detector ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 fi AS (SELECT detector, min(n) AS first FROM so WHERE n >= 10 AND n_pos >= 5 AND n_neg >= 5 GROUP BY 1)
-SELECT so.detector, (n - first) // 10 + 1 AS version, seq, n_pos, n_neg, round(greatest(0.01, least(n_neg / n, 0.5)), 6) AS contamination, round((s_pos / n_pos + s_neg / n_neg) / 2, 6) AS threshold, round((s_pos + s_neg) / n, 6) AS mean_score,
-round(sqrt(greatest(0, sq / n - ((s_pos + s_neg) / n) ** 2)), 6) AS std_score FROM so JOIN fi ON so.detector IS NOT DISTINCT FROM fi.detector WHERE n >= first AND (n - first) % 10 = 0""")
+SELECT so.detector, (n - first) // 10 + 1 AS version, seq, n_pos, n_neg, round(greatest(0.01, least(n_neg / n, 0.5)), 11) AS contamination, round((s_pos / n_pos + s_neg / n_neg) / 2, 11) AS threshold, round((s_pos + s_neg) / n, 11) AS mean_score,
+round(sqrt(greatest(0, sq / n - ((s_pos + s_neg) / n) ** 2)), 11) AS std_score FROM so JOIN fi ON so.detector IS NOT DISTINCT FROM fi.detector WHERE n >= first AND (n - first) % 10 = 0""")
 def stream_model_versions(spark, sf_dir):
+    """Scores are multiples of 1/4000, so means of few rows tie at six digits; at eleven they don't."""
     documents = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("seq"), (F.col("quality") == 1).alias("is_interesting"))
     answers = documents.selectExpr(*[f"{x} AS {c}" for c, x in RELATIONS["feedback"][1].items()]).join(labels, "seq")
     folder = f"{shared_folder(spark)}/skyloom-streams/{uuid.uuid4().hex}"
     feedback.retrain(answers, ["detector"], folder)
-    return shown(feedback.models(spark, folder))
+    return shown(feedback.models(spark, folder), digits=11)
