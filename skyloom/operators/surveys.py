@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.stats import clip, finite
 from skyloom.operators.catalog import choose_epochs, cones
+from skyloom.sources.storage import saved
 
 #: Codes of types and of filters.
 TYPES = {3: "galaxy", 6: "star"}
@@ -89,16 +90,17 @@ def masked_top(scores: DataFrame, mask: Column, most: int, score: str = "anomaly
 def consensus_ranking(ratings: DataFrame, pattern: str = "pattern_id", rating: str = "rating", weight: str = "weight", buckets: int = 1024) -> DataFrame:
     """Patterns with their weighted mean rating and their place, best first; ties by pattern, patterns without a mean last.
 
-    Counts of buckets of ratings give each bucket its first place and patterns are ranked within their bucket, so that no
-    task ranks them all.
+    Means that agree to nine digits are ties, as sums of doubles depend on the order of their rows; for the same reason
+    the means are written once, so that ends, counts and places are of the same ones. Counts of buckets of ratings give each bucket
+    its first place and patterns are ranked within their bucket, so that no task ranks them all.
     """
-    means = ratings.groupBy(pattern).agg((F.sum(F.col(rating) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("consensus"))
-    ends = means.agg(F.min("consensus").alias("low"), F.max("consensus").alias("high"))
-    part = F.floor((F.col("high") - F.col("consensus")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * buckets)
+    means = saved(ratings.groupBy(pattern).agg((F.sum(F.col(rating) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("consensus")).withColumn("_level", F.round("consensus", 9)))
+    ends = means.agg(F.min("_level").alias("low"), F.max("_level").alias("high"))
+    part = F.floor((F.col("high") - F.col("_level")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * buckets)
     keyed = means.join(F.broadcast(ends)).withColumn("bucket", F.when(F.col("consensus").isNull(), buckets + 1).otherwise(F.coalesce(part, F.lit(0)))).drop("low", "high")
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))  # buckets + 2 rows at most
     start = counts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("consensus").desc(), pattern))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("_level").desc(), pattern))
     return keyed.withColumn("nth", nth).join(F.broadcast(start), "bucket").select(pattern, "consensus", (F.col("start") + F.col("nth")).cast("long").alias("place"))
 
 

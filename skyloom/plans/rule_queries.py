@@ -157,7 +157,7 @@ def masked_top(spark, sf_dir):
     return shown(surveys.masked_top(relation(spark, sf_dir, "anomalies"), F.col("p_value") < 0.1, 25, "score"), "seq", "score")
 
 
-@query("consensus_ranking", f"""{ANOM}, m AS (SELECT region_id, sum(score * (1 + seq % 3)) / sum(1 + seq % 3) AS c FROM anomalies GROUP BY 1) SELECT region_id, round(c, 6) AS consensus, row_number() OVER (ORDER BY c DESC NULLS LAST, region_id) AS place FROM m""")
+@query("consensus_ranking", f"""{ANOM}, m AS (SELECT region_id, sum(score * (1 + seq % 3)) / sum(1 + seq % 3) AS c FROM anomalies GROUP BY 1) SELECT region_id, round(c, 6) AS consensus, row_number() OVER (ORDER BY round(c, 9) DESC NULLS LAST, region_id) AS place FROM m""")
 def consensus_ranking(spark, sf_dir):
     ratings = relation(spark, sf_dir, "anomalies").select(F.col("region_id"), F.col("score").alias("rating"), (1 + F.col("seq") % 3).cast("double").alias("weight"))
     return shown(surveys.consensus_ranking(ratings, "region_id"))
