@@ -1,6 +1,13 @@
 """Results that do not hang on the order of sums, and work that spreads over keys, distances and light curves."""
 
-from skyloom.operators import surveys
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from skyloom.functions import stats
+from skyloom.operators import spatial, surveys
 
 
 def test_means_that_differ_by_rounding_are_ties(spark):
@@ -8,3 +15,19 @@ def test_means_that_differ_by_rounding_are_ties(spark):
     ratings = spark.createDataFrame(rows, "pattern_id int, rating double, weight double").coalesce(1)
     got = sorted((r["place"], r["pattern_id"]) for r in surveys.consensus_ranking(ratings).collect())
     assert got == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_rows_of_one_group_are_dealt_over_tasks(spark, no_broadcast):
+    df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
+    for out in (stats.equal_bins(df, ["g"], "v", 10, 3, 1), stats.with_robust(df, ["g"], "v")):
+        assert out.count() == 1000 and out.select(F.spark_partition_id()).distinct().count() > 1
