@@ -61,3 +61,26 @@ def test_nearest_makes_few_pairs(spark, monkeypatch):
     got = spatial.nearest(spark.createDataFrame(rows, "region_id int, source_id int, x double, y double"), ["region_id"], 16)
     want = [(a[1], *min((math.dist(a[2:], b[2:]), b[1]) for b in rows if a[0] == b[0] and a[1] != b[1])) for a in rows if a[0] != 2]
     assert sorted((r["source_id"], r["distance"], r["nearest_id"]) for r in got.collect()) == sorted(want)
+
+
+def test_pairs_are_counted_without_a_row_each(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "distance_join", all_pairs)
+    monkeypatch.setattr(spatial, "BLOCK", 16, raising=False)
+    rng = random.Random(7)
+    rows = [(g, i, float(rng.randrange(60)), float(rng.randrange(60))) for g in (0, 1) for i in range(120)] + [(0, 500, None, 1.0), (1, 501, 1.0, float("nan"))]
+    df, edges = spark.createDataFrame(rows, "g int, source_id int, x double, y double"), [1.0, 5.0, 10.0, 30.0]
+    own = [r for r in rows if r[2] is not None and r[3] == r[3]]
+
+    def counts(pairs):
+        out = {}
+        for a, b in pairs:
+            d = math.dist(a[2:], b[2:])
+            if edges[0] <= d < edges[-1]:
+                key = (a[0], sum(d >= e for e in edges) - 1)
+                out[key] = out.get(key, 0) + 1
+        return out
+
+    read = lambda df: {(r["g"], r["bin"]): r["n_pairs"] for r in df.collect()}
+    assert read(spatial.pair_counts(df, edges, ["g"])) == counts((a, b) for a in own for b in own if a[0] == b[0] and a[1] < b[1])
+    some = df.where("source_id % 3 = 0")
+    assert read(spatial.pair_counts(df, edges, ["g"], other=some)) == counts((a, b) for a in own for b in own if a[0] == b[0] and b[1] % 3 == 0)
