@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.sphere import galactic_lat, in_box, separation
+from skyloom.sources.storage import saved
 
 
 def by_type(catalog: DataFrame, obj_type: str) -> DataFrame:
@@ -37,12 +38,20 @@ def cone(catalog: DataFrame, ra: float, dec: float, radius_arcmin: float, most:
 
 
 def cones(catalog: DataFrame, regions: DataFrame, most: int = 10_000, cell_deg: float = 5.0) -> DataFrame:
-    """The brightest sources of many cones at once, in one job.
+    """The brightest sources of many cones at once.
 
     regions (region_id, ra, dec, radius_arcmin) and sources meet on cells of declination and, within
-    a band, of right ascension; a region is copied to the cells that its box touches.
+    a band, of right ascension; a region is asked in the cells that its box touches. The sources of a cell lie in tiers by
+    brightness, the first of most sources and each next one twice as large. All regions meet the first tiers of their cells; a
+    further tier is met only by regions that have too few sources yet or whose last one is fainter than the tier's brightest.
+    So a region reads as many sources as it returns, times the cells it touches, however dense they are.
     """
+    order = [F.col("mag").asc_nulls_last(), F.col("source_id").asc()]
+    place = F.struct(F.col("mag").isNull().alias("none"), F.col("mag").alias("mag"), F.col("source_id").alias("id"))
     keyed = catalog.drop("region_id").withColumn("d", F.floor(F.col("dec") / cell_deg)).withColumn("a", F.floor(F.col("ra") / cell_deg))
+    nth = F.row_number().over(Window.partitionBy("d", "a").orderBy(*order)) - 1
+    keyed = saved(keyed.withColumn("tier", F.floor(F.log2(nth / most + 1)).cast("int")))
+    heads = saved(keyed.groupBy("d", "a", "tier").agg(F.min(place).alias("head")))
     r = F.col("radius_arcmin") / 60
     low, high = F.floor((F.col("r_dec") - r) / cell_deg), F.floor((F.col("r_dec") + r) / cell_deg)
     own = regions.select("region_id", F.col("ra").alias("r_ra"), F.col("dec").alias("r_dec"), "radius_arcmin").withColumn("d", F.explode(F.sequence(low, high)))
@@ -50,9 +59,20 @@ def cones(catalog: DataFrame, regions: DataFrame, most: int = 10_000, cell_deg:
     wide = F.when(F.abs(F.col("r_dec")) + r >= 89.9, F.lit(180.0)).otherwise(F.least(F.lit(180.0), r / F.cos(F.radians(top))))
     last = int(-(-360 // cell_deg)) - 1
     cells = F.array_distinct(F.transform(F.sequence(F.floor((F.col("r_ra") - wide) / cell_deg), F.floor((F.col("r_ra") + wide) / cell_deg)), lambda c: F.pmod(c, F.lit(last + 1))))
-    near = keyed.join(own.withColumn("a", F.explode(cells)), ["d", "a"]).withColumn("sep_arcmin", separation(F.col("r_ra"), F.col("r_dec"), F.col("ra"), F.col("dec")) * 60)
-    order = Window.partitionBy("region_id").orderBy(F.col("mag").asc_nulls_last(), "source_id")
-    return near.where(F.col("sep_arcmin") <= F.col("radius_arcmin")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("d", "a", "r_ra", "r_dec", "radius_arcmin")
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked, found = saved(own.withColumn("a", F.explode(cells)).withColumn("tier", F.lit(0))), None
+    best = Window.partitionBy("region_id").orderBy(*order)
+    while True:
+        # dealt by region too: a cell's sources are few in a tier, its regions may be many
+        near = asked.repartition(parts, "region_id", "d", "a").join(keyed, ["d", "a", "tier"]).withColumn("sep_arcmin", separation(F.col("r_ra"), F.col("r_dec"), F.col("ra"), F.col("dec")) * 60)
+        near = near.where(F.col("sep_arcmin") <= F.col("radius_arcmin")).drop("d", "a", "tier", "r_ra", "r_dec", "radius_arcmin")
+        near = near if found is None else found.drop("rank").unionByName(near)
+        found = saved(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most))
+        full = found.where(F.col("rank") == most).select("region_id", place.alias("worst"))
+        asked = asked.withColumn("tier", F.col("tier") + 1).join(heads, ["d", "a", "tier"]).join(full, "region_id", "left")
+        asked = saved(asked.where(F.col("worst").isNull() | (F.col("head") < F.col("worst"))).drop("head", "worst"))
+        if not asked.limit(1).count():
+            return found
 
 
 def merge(left: DataFrame, right: DataFrame, id_col: str = "source_id", order: str = "seq") -> DataFrame:

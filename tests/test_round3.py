@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import stats
-from skyloom.operators import spatial, surveys
+from skyloom.operators import catalog, spatial, surveys
 
 
 def test_means_that_differ_by_rounding_are_ties(spark):
@@ -84,3 +84,20 @@ def test_pairs_are_counted_without_a_row_each(spark, monkeypatch):
     assert read(spatial.pair_counts(df, edges, ["g"])) == counts((a, b) for a in own for b in own if a[0] == b[0] and a[1] < b[1])
     some = df.where("source_id % 3 = 0")
     assert read(spatial.pair_counts(df, edges, ["g"], other=some)) == counts((a, b) for a in own for b in own if a[0] == b[0] and b[1] % 3 == 0)
+
+
+def test_cones_ask_for_faint_sources_only_where_needed(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(catalog, "saved", lambda df: read.append(spatial.saved(df)) or read[-1], raising=False)
+    rng = random.Random(8)
+    stars = [(i, rng.uniform(0, 30), rng.uniform(-15, 15), rng.choice([None, 15.0, rng.uniform(10, 20)])) for i in range(1500)]
+    regions = [(j, rng.uniform(0, 30), rng.uniform(-15, 15), rng.choice([60.0, 400.0])) for j in range(40)]
+    df, rg = spark.createDataFrame(stars, "source_id int, ra double, dec double, mag double"), spark.createDataFrame(regions, "region_id int, ra double, dec double, radius_arcmin double")
+    got = {(r["region_id"], r["rank"]): r["source_id"] for r in catalog.cones(df, rg, 3).collect()}
+    want = {}
+    unit = lambda r, d: (math.cos(math.radians(d)) * math.cos(math.radians(r)), math.cos(math.radians(d)) * math.sin(math.radians(r)), math.sin(math.radians(d)))
+    for j, ra, dec, radius in regions:
+        inside = sorted((s[3] is None, s[3] or 0, s[0]) for s in stars if 2 * math.degrees(math.asin(math.dist(unit(ra, dec), unit(s[1], s[2])) / 2)) * 60 <= radius)
+        want |= {(j, k + 1): s[2] for k, s in enumerate(inside[:3])}
+    assert got == want
+    assert read  # cells and tiers are written once
