@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import stats
-from skyloom.operators import catalog, spatial, surveys
+from skyloom.operators import catalog, spatial, surveys, variability
 
 
 def test_means_that_differ_by_rounding_are_ties(spark):
@@ -101,3 +102,30 @@ def test_cones_ask_for_faint_sources_only_where_needed(spark, monkeypatch):
         want |= {(j, k + 1): s[2] for k, s in enumerate(inside[:3])}
     assert got == want
     assert read  # cells and tiers are written once
+
+
+def test_periodograms_run_in_many_tasks_as_the_plain_scan(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for s in range(30):
+        n = int(rng.integers(8, 40))
+        t, dy = np.sort(rng.uniform(0, 60, n)) + 59000, rng.uniform(0.02, 0.2, n)
+        y = 15 + 0.4 * np.sin(2 * np.pi * t / (0.3 + s)) + rng.normal(0, dy)
+        rows += [(s, "r", float(a), float(b), float(c)) for a, b, c in zip(t, y, dy, strict=True)]
+        if n < 10:
+            continue
+        t = t - t.min()
+        low, high = 1 / min(500.0, t.max() / 2), 10.0
+        f = np.linspace(low, high, int(min(10_000, max(100, (high - low) * t.max() * 5))))
+        w = 1 / (dy**2 + 1e-10)
+        w /= w.sum()
+        y = y - (w * y).sum()
+        c, s_ = np.cos(2 * np.pi * f[:, None] * t), np.sin(2 * np.pi * f[:, None] * t)
+        cc, ss, cs = (c * c) @ w - (c @ w) ** 2, (s_ * s_) @ w - (s_ @ w) ** 2, (c * s_) @ w - (c @ w) * (s_ @ w)
+        yc, ys = c @ (w * y), s_ @ (w * y)
+        power = (ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / ((w * y * y).sum() * (cc * ss - cs * cs))
+        want[s] = (1 / f[power.argmax()], power.max())
+    found = variability.periodograms(spark.createDataFrame(rows, "source_id int, band string, mjd double, mag double, magerr double"))
+    assert found.rdd.getNumPartitions() == 8
+    got = {r["source_id"]: (r["best_period"], r["best_power"]) for r in found.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
