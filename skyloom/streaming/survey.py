@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,6 +41,11 @@ def observing_sessions(points: DataFrame, gap: str = "6 hours", late: str = "2 d
     return out.select("source_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def median_of(ordered: list[float]) -> float:
+    k = len(ordered) // 2
+    return ordered[k] if len(ordered) % 2 else (ordered[k - 1] + ordered[k]) / 2
+
+
 def running_outbursts(points: DataFrame, threshold: float = 3.0, memory: int = 31) -> DataFrame:
     """Points that differ from the median of their light curve's last memory points by more than threshold robust deviations.
 
@@ -51,16 +55,21 @@ def running_outbursts(points: DataFrame, threshold: float = 3.0, memory: int = 3
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get[0]) if state.exists else []
+        own = [(ts, mag) for batch in batches for ts, mag in zip(batch["ts"].to_numpy(), batch["mag"].tolist(), strict=True)]
+        own.sort(key=lambda point: (point[0] != point[0], point[0]))  # points without a time come last
         rows = []
-        for ts, mag in pd.concat(list(batches)).sort_values("ts")[["ts", "mag"]].itertuples(index=False):
+        for ts, mag in own:
             if len(last) >= 5:
-                middle = statistics.median(last)
-                sigma = 1.4826 * statistics.median([abs(x - middle) for x in last])
+                middle = median_of(sorted(last))
+                sigma = 1.4826 * median_of(sorted([abs(x - middle) for x in last]))
                 if sigma > 1e-6 and abs(dev := (middle - mag) / sigma) > threshold:
-                    rows.append((*key, ts, mag, dev, "brightening" if dev > 0 else "fading"))
-            last = [*last, mag][-memory:]
+                    rows.append((*key, pd.Timestamp(ts), mag, dev, "brightening" if dev > 0 else "fading"))
+            last.append(mag)
+            if len(last) > memory:
+                del last[0]
         state.update((last,))
-        yield pd.DataFrame(rows, columns=columns)
+        if rows:  # most light curves have none, and a frame costs more than their points
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = dict(points.dtypes)["source_id"]
     schema = f"source_id {kind}, band string, ts timestamp, mag double, deviation_sigma double, type string"

@@ -129,3 +129,13 @@ def test_periodograms_run_in_many_tasks_as_the_plain_scan(spark):
     assert found.rdd.getNumPartitions() == 8
     got = {r["source_id"]: (r["best_period"], r["best_power"]) for r in found.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
+def test_running_median_needs_no_second_sort():
+    import statistics
+
+    from skyloom.streaming.survey import median_of
+
+    for n in range(1, 32):
+        x = sorted((7.3 * i) % 5 for i in range(n))
+        assert median_of(x) == statistics.median(x)
