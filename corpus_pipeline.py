@@ -27,8 +27,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words and a similarity of 0.8."""
-    return shingles.drop_near_copies(docs)
+    """One document of each group of near duplicates: SimHash fingerprints at three bits or fewer, as in op2, or sets of shingles of five words at a similarity of 0.8."""
+    return shingles.drop_near_copies(docs, fingerprints=True)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
