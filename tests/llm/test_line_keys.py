@@ -58,3 +58,20 @@ def test_signatures_and_ends_keep_all_close_pairs(spark):
     df = spark.createDataFrame([*pairs, ("aaaa", "aa"), ("abab", "ab"), ("x", "x"), ("", "b")], "x string, y string")
     ends = lines.let(lines.without_ends(F.col("x"), F.col("y")), lambda c: F.levenshtein(c["p"], c["t"]))
     assert df.where(ends != F.levenshtein("x", "y")).count() == 0
+
+
+def test_far_lines_of_one_key_are_told_apart_by_counts(spark):
+    """Copies with a word exchanged share keys; the counts of four characters let most of their pairs through to be compared."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("hinorsldcu") for _ in range(7)) for _ in range(30)]
+    texts = []
+    for _ in range(40):
+        own = list(words)
+        for k in rng.sample(range(30), 2):
+            own[k] = "".join(rng.choice("hinorsldcu") for _ in range(7))
+        texts.append(" ".join(own))
+    df = spark.createDataFrame([(x,) for x in texts], "line string").withColumn("h", F.xxhash64("line"))
+    found = line_keys.candidates(df, lines.key_shapes(3), 3, 64)
+    every = line_keys.pairs(found).count()
+    asked = line_keys.group_pairs(found, df, lambda x, y: F.length(x) > 0).select("a", "b").distinct().count()
+    assert every > 500 and asked < 0.1 * every
